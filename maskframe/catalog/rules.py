@@ -23,7 +23,7 @@ def _ends(head, tail):
 
 def _luhn16(digits):
     d = f"CAST(substr({digits}, i, 1) AS INT)"
-    return (f"list_sum(list_transform(range(1, 17), i -> CASE WHEN i % 2 = 0 THEN {d} WHEN 2 * {d} > 9 THEN 2 * {d} - 9"
+    return (f"list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN {d} WHEN 2 * {d} > 9 THEN 2 * {d} - 9"
             f" ELSE 2 * {d} END)) % 10 = 0")
 
 
@@ -134,7 +134,7 @@ _MIXED = (f"concat('姓名：', {_NAME}, '，手机：138', {k(8)}, '，邮箱
  CAST(5 AS BIGINT) AS hits, '姓名|手机号|身份证号|邮箱|部门' AS types FROM orders""")
 def desensitize_text(spark, sf_dir):
     """All rules over one text with five kinds of values."""
-    d = table(spark, sf_dir, "orders").select("o_orderkey", D.desensitize(F.expr(_MIXED)).alias("d"))
+    d = spread_small(table(spark, sf_dir, "orders")).select("o_orderkey", D.desensitize(F.expr(_MIXED)).alias("d"))
     return d.select("o_orderkey", F.col("d.result").alias("result"), D.total_of(F.col("d.stats")).alias("hits"),
                     F.array_join(F.array_sort(F.map_keys("d.stats")), "|").alias("types"))
 
@@ -145,21 +145,21 @@ _WIDE = f"concat('手机１３８', chr(10), {k(8)}, chr(10), 'end')"
 @query(f"SELECT o_orderkey, concat('手机138****', {k(4)}, ' end') AS result, CAST(1 AS BIGINT) AS hits FROM orders")
 def desensitize_second_pass(spark, sf_dir):
     """A number broken by full-width digits and a line break: only the normalised scan finds it."""
-    d = table(spark, sf_dir, "orders").select("o_orderkey", D.desensitize(F.expr(_WIDE)).alias("d"))
+    d = spread_small(table(spark, sf_dir, "orders")).select("o_orderkey", D.desensitize(F.expr(_WIDE)).alias("d"))
     return d.select("o_orderkey", F.col("d.result").alias("result"), D.total_of(F.col("d.stats")).alias("hits"))
 
 
-_CSV = (f"concat('name,phone,note,memo', chr(10), {_NAME}, ',138', {k(8)}, ',\"a,b\",', {_NAME}, chr(10), 'Bob',"
+_CSV = (f"concat('name,phone,note,memo', chr(10), {_NAME}, ',138', {k(8)}, ',\"a b\",', {_NAME}, chr(10), 'Bob',"
         f" ',139', {k(8)}, ',ok,', {_KEY}, chr(10))")
 _PERSON = f"concat('用户_', substr(sha256({_NAME}), 1, 4))"
 
 
-@query(f"""SELECT o_orderkey, concat('name,phone,note,memo', chr(10), {_PERSON}, ',138****', {k(4)}, ',a,b,', {_PERSON}, chr(10),
+@query(f"""SELECT o_orderkey, concat('name,phone,note,memo', chr(10), {_PERSON}, ',138****', {k(4)}, ',a b,', {_PERSON}, chr(10),
  '用户_', substr(sha256('Bob'), 1, 4), ',139****', {k(4)}, ',ok,', {_KEY}, chr(10)) AS result,
  CAST(2 AS BIGINT) AS names, CAST(2 AS BIGINT) AS phones, CAST(1 AS BIGINT) AS surnames FROM orders""")
 def desensitize_csv_text(spark, sf_dir):
     """CSV inside a text column, masked by its own header."""
-    d = table(spark, sf_dir, "orders").select("o_orderkey", D.desensitize(F.expr(_CSV)).alias("d"))
+    d = spread_small(table(spark, sf_dir, "orders")).select("o_orderkey", D.desensitize(F.expr(_CSV)).alias("d"))
     return d.select("o_orderkey", F.col("d.result").alias("result"), F.col("d.stats")["姓名"].alias("names"),
                     F.col("d.stats")["手机号"].alias("phones"), F.col("d.stats")["姓名[姓氏推断]"].alias("surnames"))
 
@@ -193,7 +193,7 @@ def might_contain_sensitive(spark, sf_dir):
 
 
 @query("""SELECT doc_id, CAST(len(regexp_extract_all(text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}')) AS INT) AS emails,
- CAST(len(list_filter(regexp_extract_all(text, '[0-9]+'), d -> length(d) BETWEEN 14 AND 25 AND NOT regexp_matches(d, '^1[3-9][0-9]{13}$')
+ CAST(len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda d: length(d) BETWEEN 14 AND 25 AND NOT regexp_matches(d, '^1[3-9][0-9]{13}$')
   AND NOT regexp_matches(d, '^[0-9]{6}(19|20)[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9]?$'))) AS INT) AS long_numbers
 FROM documents WHERE len(regexp_extract_all(text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}')) > 0
  OR regexp_matches(text, '[0-9]{14}')""")
@@ -208,9 +208,13 @@ def detect_in_documents(spark, sf_dir):
     return docs.filter(some).select("doc_id", emails.alias("emails"), numbers.alias("long_numbers"))
 
 
-@query("""SELECT doc_id, value, CAST(start AS INT) AS start FROM (SELECT doc_id, text, unnest(regexp_extract_all(text,
- '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}')) AS value FROM documents),
- LATERAL (SELECT instr(text, value) - 1 AS start)""")
+_EMAIL_RE = "[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}"
+
+
+@query(f"""WITH p AS (SELECT doc_id, regexp_split_to_array(text, '{_EMAIL_RE}') AS parts, regexp_extract_all(text, '{_EMAIL_RE}') AS found
+ FROM documents), n AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM p)
+SELECT doc_id, found[i] AS value, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x)))
+ + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS INT) AS start FROM n""")
 def locate_emails(spark, sf_dir):
     docs = spread_small(table(spark, sf_dir, "documents"))
     return D.locate(docs, ["doc_id"], "text", (RULES_BY_ID["T02"],)).select("doc_id", "value", "start")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskframe.functions.charset import HAN, WS
-from maskframe.functions.splice import find_all
+from maskframe.functions.splice import find_all, let
 
 # Full-width ASCII sits at a constant distance above its half-width twin.
 _FULL_WIDTH_FIRST, _FULL_WIDTH_LAST, _FULL_WIDTH_SHIFT = 0xFF01, 0xFF5E, 0xFEE0
@@ -95,17 +95,18 @@ def _comma_count(line: Column) -> Column:
 def looks_like_csv(text: Column) -> Column:
     """At least two non-blank lines, the first five with one equal comma count above
     zero, and a header that has a letter."""
-    head = F.slice(nonblank_lines(text), 1, 5)
-    counts = F.transform(head, _comma_count)
-    same_width = F.forall(counts, lambda n: n == F.get(counts, F.lit(0)))
-    shaped = (
-        (F.size(head) >= 2)
-        & (F.get(counts, F.lit(0)) > 0)
-        & same_width
-        & F.get(head, F.lit(0)).rlike(f"[a-zA-Z{HAN}]")
-    )
+    def shaped(head: Column) -> Column:
+        commas = F.transform(head, _comma_count)
+        return let(commas, lambda counts: (
+            (F.size(head) >= 2)
+            & (F.get(counts, F.lit(0)) > 0)
+            & (F.array_min(counts) == F.array_max(counts))
+            & F.get(head, F.lit(0)).rlike(f"[a-zA-Z{HAN}]")
+        ))
+
     worth_a_look = F.contains(text, F.lit(",")) & F.contains(text, F.lit("\n"))
-    return F.when(worth_a_look, F.coalesce(shaped, F.lit(False))).otherwise(F.lit(False))
+    sampled = let(F.slice(nonblank_lines(text), 1, 5), shaped)
+    return F.when(worth_a_look, F.coalesce(sampled, F.lit(False))).otherwise(F.lit(False))
 
 
 def parse_csv_line(line: Column) -> Column:

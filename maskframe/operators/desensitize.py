@@ -221,27 +221,21 @@ def desensitize(text: Column, rules=TEXT_RULES) -> Column:
     second time normalised; the second scan wins only with more hits, and the
     hits of both are then reported (``distinct_hits`` counts the winner alone).
     """
-    rules = tuple(rules)
+    return let(text, lambda bound: _desensitize(bound, tuple(rules)))
+
 
+def _desensitize(text: Column, rules) -> Column:
     def normalised_too(normal: Column) -> Column:
         return F.when(normal == text, F.array(text)).otherwise(F.array(text, normal))
 
-    def as_csv() -> Column:
-        return let(
-            mask_csv_text(text),
-            lambda csv: F.struct(
-                F.array(csv["text"]).alias("texts"), csv["hits"].alias("hits"),
-                csv["vendors"].alias("vendors"), csv["depts"].alias("depts"),
-            ),
-        )
+    def plan(texts: Column, hits: Column, vendors: Column, depts: Column) -> Column:
+        return F.struct(texts.alias("texts"), hits.alias("hits"), vendors.alias("vendors"), depts.alias("depts"))
 
-    as_text = F.struct(
-        let(normalize_text(text), normalised_too).alias("texts"), _no_hits().alias("hits"),
-        _no_names().alias("vendors"), _no_names().alias("depts"),
-    )
-    plan = F.when(looks_like_csv(text), as_csv()).otherwise(as_text)
-    # The CSV hits are reported even though the rules that follow start from zero.
-    return let(plan, lambda p: let(_passes(p, p["texts"], rules), lambda best: _outcome(text, best)))
+    as_csv = let(
+        mask_csv_text(text), lambda csv: plan(F.array(csv["text"]), csv["hits"], csv["vendors"], csv["depts"]))
+    as_text = plan(let(normalize_text(text), normalised_too), _no_hits(), _no_names(), _no_names())
+    chosen = F.when(looks_like_csv(text), as_csv).otherwise(as_text)
+    return let(chosen, lambda p: let(_passes(p, p["texts"], rules), lambda best: _outcome(text, best)))
 
 
 def mask_text(text: Column, rules=TEXT_RULES) -> Column:
@@ -271,8 +265,12 @@ def detect(df: DataFrame, key_columns: list[str], text_column: str, rules=TEXT_R
     The findings are those `desensitize` masks, in the order it met them.
     """
     found = df.select(*key_columns, desensitize(F.col(text_column), rules)["findings"].alias("findings"))
-    return found.select(*key_columns, F.posexplode("findings").alias("ordinal", "finding")).select(
-        *key_columns, "ordinal", "finding.type", "finding.value"
+    # The outer form: an inner one makes the optimizer test for empty arrays
+    # below the scan, which would run it twice.
+    return (
+        found.select(*key_columns, F.posexplode_outer("findings").alias("ordinal", "finding"))
+        .filter(F.col("ordinal").isNotNull())
+        .select(*key_columns, "ordinal", "finding.type", "finding.value")
     )
 
 
@@ -283,8 +281,9 @@ def locate(df: DataFrame, key_columns: list[str], text_column: str, rules=TEXT_R
     """
     text = F.col(text_column)
     found = F.concat(*(rule_hits(text, rule) for rule in rules))
-    return df.select(*key_columns, F.explode(found).alias("finding")).select(
-        *key_columns, "finding.type", "finding.value", "finding.start"
+    return (
+        df.select(*key_columns, F.explode_outer(found).alias("finding")).filter(F.col("finding").isNotNull())
+        .select(*key_columns, "finding.type", "finding.value", "finding.start")
     )
 
 

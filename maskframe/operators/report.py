@@ -11,7 +11,9 @@ def pii_report(df: DataFrame, stats_column: str, by: list[str] | None = None, to
 
     ``totals`` adds subtotal rows, marked by NULL keys.
     """
-    exploded = df.select(*(by or []), F.explode(stats_column).alias("type", "_n"))
+    # Outer, then filtered: an inner explode would have the scan behind
+    # ``stats_column`` evaluated once more to skip empty maps.
+    exploded = df.select(*(by or []), F.explode_outer(stats_column).alias("type", "_n")).filter(F.col("type").isNotNull())
     keys = [*(by or []), "type"]
     grouped = exploded.rollup(*keys) if totals else exploded.groupBy(*keys)
     return grouped.agg(F.sum("_n").alias("hits"), F.count("*").alias("records"))

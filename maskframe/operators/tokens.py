@@ -174,7 +174,7 @@ def vault_rows(tokenized: DataFrame, key: bytes, session: Column | str | None =
     session_id = session if isinstance(session, Column) else F.lit(session)
     return tokenized.select(session_id.cast("string").alias("session_id"),
                             (created if created is not None else F.current_timestamp()).alias("created_ts"),
-                            F.explode("tokens").alias("t")).select(
+                            F.explode_outer("tokens").alias("t")).filter(F.col("t").isNotNull()).select(
         F.col("t.token").alias("token_id"), F.col("t.type").alias("type"),
         encrypt_value(F.col("t.original"), key).alias("ciphertext"),
         F.length("t.original").alias("original_length"), "session_id", "created_ts",

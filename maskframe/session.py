@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,17 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files a job writes and reads again: below the shared
+    folder of the cluster, or a temporary one in a local session without it."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix=f"maskframe-{name}-") + "/data"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage through a reliable checkpoint.
 
