@@ -105,6 +105,9 @@ def mask_eav_customer(spark, sf_dir):
     return masked.select("key", "field", "value", F.size(F.map_keys("mask_stats")).alias("hits"))
 
 
+_PARTY = "concat('Acme', cast(c_custkey % 50 as string))"
+
+
 def _sheets(spark, sf_dir):
     """A wide sheet per market segment and a long one per nation, made of the customers."""
     customer = table(spark, sf_dir, "customer")
@@ -112,7 +115,7 @@ def _sheets(spark, sf_dir):
     wide = customer.select(
         F.concat(F.lit("/in/"), "c_mktsegment", F.lit(".xlsx")).alias("path"), F.lit("wide").alias("sheet"),
         F.lit(0).alias("sheet_idx"), (F.col("c_custkey") + 1).alias("row_idx"),
-        F.array(F.col("c_name"), F.expr("concat('138', lpad(cast(c_custkey as string), 8, '0'))"),
+        F.array(F.expr(_PARTY), F.expr("concat('138', lpad(cast(c_custkey as string), 8, '0'))"),
                 F.lit("plain words")).alias("cells"))
     heads = customer.select("c_mktsegment").distinct().select(
         F.concat(F.lit("/in/"), "c_mktsegment", F.lit(".xlsx")).alias("path"), F.lit("wide").alias("sheet"),
@@ -132,11 +135,12 @@ def orientation(spark, sf_dir):
     return detect_orientation(_sheets(spark, sf_dir))
 
 
-@query("""WITH f AS (SELECT c_mktsegment, c_name, min(c_custkey) AS first FROM customer GROUP BY ALL),
+@query(f"""WITH c AS (SELECT *, {_PARTY} AS party FROM customer),
+ f AS (SELECT c_mktsegment, party, min(c_custkey) AS first FROM c GROUP BY ALL),
  r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY first) AS n FROM f)
 SELECT concat('/in/', c_mktsegment, '.xlsx') AS path, c_custkey + 1 AS row_idx,
  concat('供应商_', CASE WHEN n <= 26 THEN chr(CAST(64 + n AS INT)) ELSE CAST(n AS VARCHAR) END, '|138****', lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0'), '|plain words') AS cells,
- CAST(2 AS BIGINT) AS hits FROM customer JOIN r USING (c_mktsegment, c_name)
+ CAST(2 AS BIGINT) AS hits FROM c JOIN r USING (c_mktsegment, party)
 UNION ALL SELECT DISTINCT concat('/in/', c_mktsegment, '.xlsx'), 0, '客户|phone|note', 0 FROM customer
 UNION ALL SELECT concat('/in/', c_nationkey, '.csv'), c_custkey * 3, concat('姓名|用户_', substr(sha256(c_name), 1, 4)), 1 FROM customer
 UNION ALL SELECT concat('/in/', c_nationkey, '.csv'), c_custkey * 3 + 1, '备注|plain words', 0 FROM customer
@@ -167,7 +171,7 @@ def nested(spark, sf_dir):
                          F.col("body.more")["phone"].alias("phone"), "body.number", hits.alias("hits"))
 
 
-@query("""SELECT event_id, concat('{"mail": "', 'u', repeat('*', CAST(least(length(CAST(user_id AS VARCHAR)) + 2, 8) AS BIGINT)), right(CAST(user_id AS VARCHAR), 1), '@b.org", "user@b.org": ',
+@query("""SELECT event_id, concat('{"mail": "', 'u', repeat('*', CAST(least(length(CAST(user_id AS VARCHAR)) + 1, 8) AS BIGINT)), right(CAST(user_id AS VARCHAR), 1), '@b.org", "user@b.org": ',
  user_id, ', "props": ', props, ', "q": ["a \\"b\\"", null, true]}') AS body FROM events""")
 def mask_json_events(spark, sf_dir):
     """JSON of any shape: string values are masked, keys and numbers are not."""

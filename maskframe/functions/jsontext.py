@@ -41,26 +41,30 @@ def string_values(text: Column) -> Column:
     return F.transform(F.filter(find_all(text, _LITERAL), lambda lit: ~_is_key(lit)), decode_string)
 
 
-def map_string_values(text: Column, change: Callable[[Column, Column], Column]) -> Column:
-    """JSON text with ``change(value, ordinal)`` in the place of each string value.
+def scan_string_values(text: Column, visit: Callable[[Column, Column], Column], extra_type: str) -> Column:
+    """Map and report in one walk: ``struct<text, extras>``.
 
-    ``ordinal`` counts the literals, keys included, so it names a leaf.
+    ``visit(value, ordinal)`` gives ``struct<value, extras>`` for a string value;
+    ``ordinal`` counts the literals, keys included, so it names a leaf.  The
+    ``extras`` arrays (of ``extra_type``) of all leaves are joined.
     """
+    nothing = F.array().cast(f"array<{extra_type}>")
 
-    def new_literal(literal: Column, ordinal: Column) -> Column:
-        def replaced(value: Column) -> Column:
-            return let(change(value, ordinal), lambda new: F.when(new == value, literal).otherwise(encode_string(new)))
-
-        return F.when(_is_key(literal), literal).otherwise(let(decode_string(literal), replaced))
-
-    return let(find_all(text, _LITERAL), lambda literals: weave(text, _LITERAL, F.transform(literals, new_literal)))
+    def one(literal: Column, ordinal: Column) -> Column:
+        def visited(value: Column) -> Column:
+            return let(visit(value, ordinal), lambda new: F.struct(
+                F.when(new["value"] == value, literal).otherwise(encode_string(new["value"])).alias("literal"),
+                new["extras"].alias("extras")))
 
+        kept = F.struct(literal.alias("literal"), nothing.alias("extras"))
+        return F.when(_is_key(literal), kept).otherwise(let(decode_string(literal), visited))
 
-def collect_string_values(text: Column, visit: Callable[[Column, Column], Column], element_type: str) -> Column:
-    """Concatenation of the arrays ``visit(value, ordinal)`` gives for each string value."""
+    return let(F.transform(find_all(text, _LITERAL), one), lambda leaves: F.struct(
+        weave(text, _LITERAL, F.transform(leaves, lambda leaf: leaf["literal"])).alias("text"),
+        F.flatten(F.transform(leaves, lambda leaf: leaf["extras"])).alias("extras")))
 
-    def one(literal: Column, ordinal: Column) -> Column:
-        nothing = F.array().cast(f"array<{element_type}>")
-        return F.when(_is_key(literal), nothing).otherwise(let(decode_string(literal), lambda v: visit(v, ordinal)))
 
-    return let(find_all(text, _LITERAL), lambda literals: F.flatten(F.transform(literals, one)))
+def map_string_values(text: Column, change: Callable[[Column, Column], Column]) -> Column:
+    """JSON text with ``change(value, ordinal)`` in the place of each string value."""
+    visit = lambda value, at: F.struct(change(value, at).alias("value"), F.array().cast("array<int>").alias("extras"))
+    return scan_string_values(text, visit, "int")["text"]

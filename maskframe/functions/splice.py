@@ -23,15 +23,23 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def weave(text: Column, pattern: str | Column, replacements: Column) -> Column:
-    """Put ``replacements[i]`` in the place of the i-th match of ``pattern``."""
-    pieces = F.split(text, pattern, -1)
+def cut(text: Column, pattern: str | Column) -> Column:
+    """The pieces between the matches, one more than there are matches."""
+    return F.split(text, pattern, -1)
+
+
+def join_pieces(pieces: Column, replacements: Column) -> Column:
     joined = F.zip_with(
         pieces, replacements, lambda piece, new: F.concat(piece, F.coalesce(new, F.lit("")))
     )
     return F.array_join(joined, "")
 
 
+def weave(text: Column, pattern: str | Column, replacements: Column) -> Column:
+    """Put ``replacements[i]`` in the place of the i-th match of ``pattern``."""
+    return join_pieces(cut(text, pattern), replacements)
+
+
 def replace_matches(text: Column, pattern: str, mask: Callable[[Column], Column]) -> Column:
     """``text`` with every match ``m`` of ``pattern`` replaced by ``mask(m)``."""
     return F.when(
@@ -39,17 +47,15 @@ def replace_matches(text: Column, pattern: str, mask: Callable[[Column], Column]
     ).otherwise(text)
 
 
-def match_starts(text: Column, pattern: str, matches: Column) -> Column:
+def match_starts(pieces: Column, matches: Column) -> Column:
     """Zero-based start offset of each match, from the lengths of the cut pieces."""
-    piece_lengths = F.transform(F.split(text, pattern, -1), F.length)
+    piece_lengths = F.transform(F.slice(pieces, 1, F.size(matches)), F.length)
     match_lengths = F.transform(matches, F.length)
-    empty = F.array().cast("array<int>")
     # Running sum of (piece before match i) + (match i); a start is that sum
     # without the match itself.
     ends = F.aggregate(
-        F.zip_with(F.slice(piece_lengths, 1, F.size(match_lengths)), match_lengths,
-                   lambda before, own: before + own),
-        empty,
+        F.zip_with(piece_lengths, match_lengths, lambda before, own: before + own),
+        F.array().cast("array<int>"),
         lambda acc, step: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + step)),
     )
     return F.zip_with(ends, match_lengths, lambda end, own: end - own)

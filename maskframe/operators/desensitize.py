@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from maskframe.functions import masks as M
 from maskframe.functions.charset import NOT_AFTER_DIGIT, NOT_AFTER_WORD, NOT_BEFORE_DIGIT, NOT_BEFORE_WORD, WS, HAN
-from maskframe.functions.splice import find_all, let, match_starts, weave
+from maskframe.functions.splice import cut, find_all, let, match_starts, weave
 from maskframe.functions.text import looks_like_csv, normalize_text, trim_blanks
 from maskframe.operators.csv_text import mask_csv_text
 from maskframe.plans.rules import TEXT_RULES, TextRule
@@ -249,7 +249,7 @@ def rule_hits(text: Column, rule: TextRule) -> Column:
     def located(matches: Column) -> Column:
         all_hits = F.zip_with(
             matches,
-            match_starts(text, rule.pattern, matches),
+            match_starts(cut(text, rule.pattern), matches),
             lambda m, start: F.struct(F.lit(rule.label).alias("type"), m.alias("value"), start.alias("start")),
         )
         return F.filter(all_hits, lambda hit: rule.valid(hit["value"])) if rule.valid else all_hits

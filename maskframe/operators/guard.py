@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from maskframe.functions.charset import WS
 from maskframe.functions.jsontext import is_json
-from maskframe.operators.desensitize import desensitize, stats_of, total_of
+from maskframe.operators.desensitize import HITS_TYPE, desensitize, stats_of, total_of
 from maskframe.operators.joins import salted_join
-from maskframe.operators.nested import json_findings, mask_json
+from maskframe.operators.nested import scan_json
 from maskframe.operators.report import summary_text
 from maskframe.operators.tokens import PII_TYPES, tokenize
 from maskframe.plans.rules import TEXT_RULES, select_rules
@@ -66,8 +66,9 @@ def guard(df: DataFrame, text_column: str, block: bool = True, skip: str = DEFAU
     if json:
         work = df.withColumn("_error", F.when(~is_json(text), F.lit("unparsable JSON")))
         good = F.when(F.col("_error").isNull(), text)
-        work = work.select("*", mask_json(good, rules).alias("_data"), json_findings(good, rules).alias("_hits"))
-        work = work.withColumn("_stats", stats_of(F.coalesce("_hits", F.array().cast("array<struct<type:string,value:string>>"))))
+        work = work.withColumn("_scan", scan_json(good, rules)).select(
+            "*", F.col("_scan.text").alias("_data"),
+            stats_of(F.coalesce("_scan.extras", F.array().cast(HITS_TYPE))).alias("_stats"))
     else:
         work = df.withColumn("_error", F.when(~F.is_valid_utf8(text), F.lit("invalid UTF-8")))
         scan = desensitize(F.when(F.col("_error").isNull(), text), rules)

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskframe.functions.crypto import decrypt_value, encrypt_value
-from maskframe.functions.jsontext import collect_string_values, map_string_values
-from maskframe.functions.splice import find_all, let, match_starts, weave
+from maskframe.functions.jsontext import map_string_values, scan_string_values, string_values
+from maskframe.functions.splice import cut, find_all, join_pieces, let, match_starts, weave
 from maskframe.operators.joins import salted_join
-from maskframe.operators.nested import collect_leaves, map_leaves
+from maskframe.operators.nested import collect_leaves, map_leaves, scan_leaves
 
 _WORD = "[0-9A-Za-z_]"
 _EDGE = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
@@ -40,7 +40,12 @@ def _pattern(types) -> str:
     unknown = set(types) - set(PII_TYPES)
     if unknown:
         raise ValueError(f"unknown types {sorted(unknown)}")
-    return "|".join(f"{_EDGE}{PII_TYPES[name][1]}{_EDGE}" for name in PII_TYPES if name in types)
+    chosen = [PII_TYPES[name][1] for name in PII_TYPES if name in types]
+    pattern = rf"(?<!{_WORD})(?={_WORD})(?:{'|'.join(body + _EDGE for body in chosen)})"
+    if "email" in types:
+        # Only an e-mail can start with a sign, and then right behind a word.
+        pattern += rf"|(?<={_WORD})(?=[.%+\-]){PII_TYPES['email'][1]}{_EDGE}"
+    return pattern
 
 
 def _type_of(match: Column, types) -> Column:
@@ -51,19 +56,21 @@ def _type_of(match: Column, types) -> Column:
     return chain
 
 
+def _spans(pieces: Column, matches: Column, types) -> Column:
+    return F.zip_with(
+        matches, match_starts(pieces, matches),
+        lambda m, start: F.struct(_type_of(m, types).alias("type"), m.alias("value"), start.alias("start")))
+
+
+def _worth_scanning(text: Column) -> Column:
+    return text.rlike("[0-9]{11}|@|[0-9]\\.[0-9]|(?=[sSpPaAtT])(?i:sk-|pk-|ak-|api[_-]?key|token)")
+
+
 def pii_spans(text: Column, types=tuple(PII_TYPES)) -> Column:
     """Non-overlapping spans in text order: ``array<struct<type, value, start>>``."""
     pattern = _pattern(types)
-
-    def located(matches: Column) -> Column:
-        return F.zip_with(
-            matches, match_starts(text, pattern, matches),
-            lambda m, start: F.struct(_type_of(m, types).alias("type"), m.alias("value"), start.alias("start")),
-        )
-
-    return F.when(
-        text.rlike("[0-9]|@|[tT][oO][kK]|[kK][-_eE]"), let(find_all(text, pattern), located)
-    ).otherwise(F.array().cast(f"array<{SPAN_TYPE}>"))
+    found = let(find_all(text, pattern), lambda matches: _spans(cut(text, pattern), matches, types))
+    return F.when(_worth_scanning(text), found).otherwise(F.array().cast(f"array<{SPAN_TYPE}>"))
 
 
 def candidate_spans(text: Column, types=tuple(PII_TYPES)) -> Column:
@@ -73,7 +80,7 @@ def candidate_spans(text: Column, types=tuple(PII_TYPES)) -> Column:
         tag, body = PII_TYPES[name]
         pattern = f"{_EDGE}{body}{_EDGE}"
         return let(find_all(text, pattern), lambda matches: F.zip_with(
-            matches, match_starts(text, pattern, matches),
+            matches, match_starts(cut(text, pattern), matches),
             lambda m, start: F.struct(F.lit(tag).alias("type"), m.alias("value"), start.alias("start"))))
 
     return F.concat(*(of_type(name) for name in PII_TYPES if name in types))
@@ -111,20 +118,27 @@ def tokenize_text(text: Column, identity: Column, types=tuple(PII_TYPES),
                   prefix: str = DEFAULT_PREFIX, suffix: str = DEFAULT_SUFFIX) -> Column:
     """``struct<text, tokens>``; the index in a token counts from the end of the text."""
     pattern = _pattern(types)
+    nothing = F.array().cast(f"array<{TOKEN_TYPE}>")
 
-    def tokens(spans: Column) -> Column:
-        number = token_number(identity)
+    def tokens(spans: Column, number: Column) -> Column:
         return F.transform(spans, lambda s, i: F.struct(
             F.concat(F.lit(prefix), s["type"], F.lit("_"), number, F.lit("_"),
                      (F.size(spans) - 1 - i).cast("string"), F.lit(suffix)).alias("token"),
             s["value"].alias("original"), s["start"].alias("position"), s["type"].alias("type")))
 
-    def outcome(found: Column) -> Column:
-        new_text = F.when(F.size(found) == 0, text).otherwise(
-            weave(text, pattern, F.transform(found, lambda t: t["token"])))
-        return F.struct(F.when(text.isNotNull(), new_text).alias("text"), F.reverse(found).alias("tokens"))
+    def replaced(pieces: Column, found: Column) -> Column:
+        return F.struct(
+            join_pieces(pieces, F.transform(found, lambda t: t["token"])).alias("text"), F.reverse(found).alias("tokens"))
+
+    def with_matches(matches: Column) -> Column:
+        work = let(cut(text, pattern), lambda pieces: let(
+            _spans(pieces, matches, types), lambda spans: let(
+                token_number(identity), lambda number: let(
+                    tokens(spans, number), lambda found: replaced(pieces, found)))))
+        return F.when(F.size(matches) > 0, work).otherwise(untouched)
 
-    return let(pii_spans(text, types), lambda spans: let(tokens(spans), outcome))
+    untouched = F.struct(text.alias("text"), nothing.alias("tokens"))
+    return F.when(_worth_scanning(text), let(find_all(text, pattern), with_matches)).otherwise(untouched)
 
 
 def _identity(keys: list[str]) -> Column:
@@ -137,25 +151,27 @@ def tokenize(df: DataFrame, keys: list[str], columns: list[str], types=tuple(PII
 
     ``keys`` must identify a record: tokens are derived from them and from the
     path of the leaf.  Columns may be strings, structs, arrays or maps, or JSON
-    texts when listed in ``json_columns``.  One projection, no shuffle.
+    texts when listed in ``json_columns``.  One pass per leaf, no shuffle.
     """
     record = _identity(keys)
-    run = lambda leaf, path: tokenize_text(leaf, F.concat_ws("\x1f", record, path), types, prefix, suffix)
-    new, tables = {}, []
-    for column in columns:
-        if column in json_columns:
-            at = lambda o, c=column: F.concat(F.lit(c + "#"), o.cast("string"))
-            new[column] = map_string_values(F.col(column), lambda v, o: run(v, at(o))["text"])
-            tables.append(collect_string_values(F.col(column), lambda v, o: run(v, at(o))["tokens"], TOKEN_TYPE))
-            continue
-        data_type = df.schema[column].dataType
-        new[column] = map_leaves(F.col(column), data_type, lambda v, p: run(v, p)["text"], F.lit(column))
-        tables.append(collect_leaves(F.col(column), data_type, lambda v, p: run(v, p)["tokens"], TOKEN_TYPE, F.lit(column)))
-    nothing = F.array().cast(f"array<{TOKEN_TYPE}>")
-    return df.select(
-        *(new[c].alias(c) if c in new else F.col(c) for c in df.columns),
-        F.concat(*(F.coalesce(t, nothing) for t in tables)).alias("tokens"),
-    ).withColumn("token_count", F.size("tokens"))
+
+    def run(leaf: Column, path: Column) -> Column:
+        return tokenize_text(leaf, F.concat_ws("\x1f", record, path), types, prefix, suffix)
+
+    def visit(leaf: Column, path: Column) -> Column:
+        return let(run(leaf, path), lambda t: F.struct(t["text"].alias("value"), t["tokens"].alias("extras")))
+
+    work, tables = df, []
+    walked = [c for c in columns if c not in json_columns]
+    if walked:
+        work = scan_leaves(work, walked, visit, "_leaves")
+        tables.append(F.flatten(F.transform("_leaves", lambda leaf: leaf["extras"])))
+    for column in json_columns:
+        at = lambda ordinal, c=column: F.concat(F.lit(c + "#"), ordinal.cast("string"))
+        scan = scan_string_values(F.col(column), lambda v, o: visit(v, at(o)), TOKEN_TYPE)
+        work = work.withColumn(f"_json_{column}", scan).withColumn(column, F.col(f"_json_{column}.text"))
+        tables.append(F.coalesce(F.col(f"_json_{column}.extras"), F.array().cast(f"array<{TOKEN_TYPE}>")))
+    return work.select(*df.columns, F.concat(*tables).alias("tokens")).withColumn("token_count", F.size("tokens"))
 
 
 def tokenize_nested(df: DataFrame, keys: list[str], columns: list[str], **options) -> DataFrame:
@@ -197,10 +213,11 @@ def detokenize(df: DataFrame, keys: list[str], columns: list[str], vault: DataFr
     """
     pattern = token_pattern(prefix, suffix)
 
+    find = lambda v, _: F.when(F.contains(v, F.lit(prefix)), find_all(v, pattern))
+
     def tokens_of(column: str) -> Column:
-        find = lambda v, _: F.when(F.contains(v, F.lit(prefix)), find_all(v, pattern))
         if column in json_columns:
-            return collect_string_values(F.col(column), lambda v, o: F.coalesce(find(v, o), F.array().cast("array<string>")), "string")
+            return F.flatten(F.transform(string_values(F.col(column)), lambda v: F.coalesce(find(v, None), nothing)))
         return collect_leaves(F.col(column), df.schema[column].dataType, find, "string", F.lit(""))
 
     nothing = F.array().cast("array<string>")
@@ -236,15 +253,11 @@ def detokenize(df: DataFrame, keys: list[str], columns: list[str], vault: DataFr
                           map_string_values(F.col(column), lambda v, _: restored(v))).otherwise(F.col(column))
         return map_leaves(F.col(column), df.schema[column].dataType, lambda v, _: restored(v), F.lit(""))
 
-    count_known = lambda v, _: F.filter(find_all(v, pattern), lambda t: F.map_contains_key("_values", t))
-    counts = [
-        F.size(collect_string_values(F.col(c), count_known, "string")) if c in json_columns
-        else F.size(collect_leaves(F.col(c), df.schema[c].dataType, count_known, "string", F.lit("")))
-        for c in columns
-    ]
+    held = F.concat(*(F.coalesce(tokens_of(c), nothing) for c in columns))
+    restored_count = F.size(F.filter(held, lambda token: F.map_contains_key("_values", token)))
     done = joined.select(
         *(new(c).alias(c) if c in columns else F.col(c) for c in df.columns),
-        F.when(F.col("_values").isNotNull(), sum(counts[1:], counts[0])).otherwise(0).alias("restored"),
+        F.when(F.col("_values").isNotNull(), restored_count).otherwise(0).alias("restored"),
     )
     return done.unionByName(rest.withColumn("restored", F.lit(0)))
 
