@@ -37,4 +37,4 @@ def key_digits(n: int, column: str = "o_orderkey") -> str:
     return f"lpad(cast({column} % {10 ** n} as string), {n}, '0')"
 
 
-from maskframe.catalog import guards, masks, rules, tables, tokens  # noqa: E402, F401
+from maskframe.catalog import files, guards, masks, rules, streams, tables, tokens  # noqa: E402, F401
