@@ -20,6 +20,7 @@ from maskframe.session import materialise, scratch_folder
 from maskframe.sources import office, readers, writers
 
 _PHONE = "concat('138', lpad(cast(c_custkey as string), 8, '0'))"
+_WHO = "concat('Acme', cast(c_custkey as string))"
 _NOTE = "concat('seg ', c_mktsegment, ', \"key\" ', cast(c_custkey as string))"
 
 
@@ -64,7 +65,8 @@ def as_pdf(lines: list[str]) -> bytes:
 
     shows = f"BT /F1 12 Tf 1 0 0 1 50 700 Tm ({literal(lines[0])}) Tj 0 -14 Td [({literal(lines[1][:4])}) -20 ({literal(lines[1][4:])})] TJ ET"
     packed = zlib.compress(shows.encode("latin-1"))
-    return b"%PDF-1.4\n1 0 obj << /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream\nendobj\n" % (len(packed), packed)
+    head = f"%PDF-1.4\n1 0 obj << /Length {len(packed)} /Filter /FlateDecode >>\nstream\n"
+    return head.encode() + packed + b"\nendstream\nendobj\n"
 
 
 def _documents(spark, sf_dir, build, extension):
@@ -125,7 +127,7 @@ _FILE_KEY = "concat(c_mktsegment, '_', cast(cast(floor(c_custkey / 100000) as in
 def _csv_files(spark, sf_dir) -> str:
     """A CSV per file key: header, then one line per customer."""
     customer = table(spark, sf_dir, "customer").withColumn("segment", F.expr(_FILE_KEY))
-    cells = F.array(F.col("c_name"), F.expr(_PHONE), F.expr(_NOTE))
+    cells = F.array(F.expr(_WHO), F.expr(_PHONE), F.expr(_NOTE))
     body = customer.select("segment", (F.col("c_custkey") + 1).alias("at"), writers.to_csv_line(cells).alias("value"))
     heads = customer.select("segment").distinct().select(
         "segment", F.lit(0).cast("bigint").alias("at"), F.lit("name,phone,note").alias("value"))
@@ -139,15 +141,15 @@ def _segment():
     return F.regexp_extract("path", "segment=([A-Z]+_[0-9]+)", 1)
 
 
-@query(f"""SELECT segment, rank - 1 AS row_idx, cells FROM (SELECT segment, cells, row_number() OVER (PARTITION BY segment ORDER BY at) AS rank FROM (
- SELECT {_FILE_KEY} AS segment, c_custkey + 1 AS at, concat(c_name, '|', {_PHONE}, '|', {_NOTE}) AS cells FROM customer
+@query(f"""SELECT segment, rank - 1 AS row_idx, cells FROM (SELECT segment, cells, row_number() OVER (PARTITION BY segment ORDER BY pos) AS rank FROM (
+ SELECT {_FILE_KEY} AS segment, c_custkey + 1 AS pos, concat({_WHO}, '|', {_PHONE}, '|', {_NOTE}) AS cells FROM customer
  UNION ALL SELECT DISTINCT {_FILE_KEY}, 0, 'name|phone|note' FROM customer))""")
 def read_csv_cells(spark, sf_dir):
     cells = readers.read_csv_cells(spark, _csv_files(spark, sf_dir), extensions=(".txt",))
     return cells.select(_segment().alias("segment"), "row_idx", F.array_join("cells", "|").alias("cells"))
 
 
-@query(f"""SELECT {_FILE_KEY} AS segment, concat('用户_', substr(sha256(c_name), 1, 4), ',138****', lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0'),
+@query(f"""SELECT {_FILE_KEY} AS segment, concat('用户_', substr(sha256({_WHO}), 1, 4), ',138****', lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0'),
  ',"seg ', c_mktsegment, ', ""key"" ', c_custkey, '"') AS line FROM customer
 UNION ALL SELECT DISTINCT {_FILE_KEY}, 'name,phone,note' FROM customer""")
 def write_masked_sheets(spark, sf_dir):

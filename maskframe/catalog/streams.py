@@ -26,10 +26,10 @@ def _run(stream, spark, name):
     return spark.read.parquet(f"{folder}/out")
 
 
-_MAIL = "concat(text, ' user', cast(conv_id as string), '@example.com')"
+_MAIL = "concat('turn ', cast(turn as string), ' user', cast(conv_id as string), '@example.com')"
 
 
-@query("""SELECT conv_id, turn, role, md5(concat(text, ' u', repeat('*', CAST(least(length(CAST(conv_id AS VARCHAR)) + 2, 8) AS BIGINT)),
+@query("""SELECT conv_id, turn, role, md5(concat('turn ', turn, ' u', repeat('*', CAST(least(length(CAST(conv_id AS VARCHAR)) + 2, 8) AS BIGINT)),
  right(CAST(conv_id AS VARCHAR), 1), '@example.com')) AS text_md5 FROM conversations""", name="mask_stream")
 def masked_stream(spark, sf_dir):
     messages = _stream(spark, sf_dir, "conversations").withColumn("text", F.expr(_MAIL))
@@ -76,9 +76,8 @@ def reassembled(spark, sf_dir):
     """Every message is an event; its delimiter is cut in two and its text comes in two chunks."""
     folder = scratch_folder(spark, "reassemble")
     messages = table(spark, sf_dir, "conversations")
-    from pyspark.sql import Window
-
-    numbered = messages.withColumn("at", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    first = messages.groupBy("conv_id").agg(F.min("turn").alias("first"))
+    numbered = messages.join(first, "conv_id").withColumn("at", F.col("turn") - F.col("first"))
     pieces = F.array(
         F.concat(F.when(F.col("at") > 0, F.lit("\n")).otherwise(F.lit("")), F.lit("da")),
         F.concat(F.lit("ta: "), F.col("turn").cast("string"), F.lit("\n")))
@@ -88,5 +87,5 @@ def reassembled(spark, sf_dir):
         F.col("conv_id").cast("string").alias("stream_id"), (F.col("at") * 2 + 2).cast("bigint").alias("seq"), F.lit("\n").alias("chunk"))
     chunks.unionByName(ends).write.parquet(f"{folder}/in")
     arriving = spark.readStream.schema("stream_id string, seq bigint, chunk string").parquet(f"{folder}/in")
-    out = _run(reassemble_events(arriving), spark, "reassembled")
+    out = _run(reassemble_events(arriving, timeout_ms=None), spark, "reassembled")
     return out.filter("complete").select("stream_id", "event_no", "event")

@@ -83,13 +83,15 @@ _STATE_SCHEMA = "next_seq bigint, event_no bigint, tail string, waiting_seq arra
 
 
 def reassemble_events(chunks: DataFrame, stream_id: str = "stream_id", seq: str = "seq", chunk: str = "chunk",
-                      timeout_ms: int = 60_000) -> DataFrame:
+                      timeout_ms: int | None = 60_000) -> DataFrame:
     """Raw chunks to complete events on the blank-line delimiter, per stream.
 
     ``seq`` counts the chunks of a stream from 0.  Chunks are passed on in that
     order as soon as they connect; the state holds the unfinished tail and the
     chunks that arrived early, never a whole stream.  A stream that falls
-    silent is flushed: what is left comes out with ``complete`` false.
+    silent for ``timeout_ms`` is flushed: what is left comes out with ``complete``
+    false.  ``None`` never flushes; a replay that is to end by itself
+    (``availableNow``) needs that, since a timer keeps a query alive.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -104,7 +106,7 @@ def reassemble_events(chunks: DataFrame, stream_id: str = "stream_id", seq: str
                 "stream_id": [key[0]] * len(events), "event_no": range(event_no, event_no + len(events)),
                 "event": events, "complete": [complete] * len(events)})
 
-        if state.hasTimedOut:
+        if timeout_ms is not None and state.hasTimedOut:
             rest = tail + "".join(waiting[s] for s in sorted(waiting))
             state.remove()
             if rest.strip():
@@ -122,7 +124,9 @@ def reassemble_events(chunks: DataFrame, stream_id: str = "stream_id", seq: str
                     event_no += len(events)
         order = sorted(waiting)
         state.update((next_seq, event_no, tail, order, [waiting[s] for s in order]))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
 
+    timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return chunks.groupBy(F.col(stream_id).cast("string").alias("stream_id")).applyInPandasWithState(
-        step, EVENT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        step, EVENT_SCHEMA, _STATE_SCHEMA, "append", timeout)
