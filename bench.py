@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from maskframe.catalog import QUERIES
 from maskframe.session import local_session
 
 HEADLINE = (
-    "desensitize_documents", "desensitize_text", "might_contain_sensitive", "detect_in_documents",
-    "mask_phone", "mask_email", "mask_table_orders", "mask_table_customer", "label_entities_table", "mask_eav",
-    "pii_spans", "tokenize", "detokenize", "detokenize_documents", "mask_json_events", "guard", "conversation_verdicts",
-    "rewrite_file_refs",
+    "mask_phone", "mask_email", "mask_table_orders", "label_entities_table", "pii_spans", "tokenize",
+    "rewrite_file_refs", "detect_in_documents", "detokenize_documents", "might_contain_sensitive",
+    "mask_json_events", "desensitize_documents",
 )
 
 
@@ -27,6 +27,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "total_query_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
