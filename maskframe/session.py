@@ -6,6 +6,7 @@ settings beyond adaptive execution, which Spark turns on by default.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -25,6 +26,9 @@ def local_session(app: str = "maskframe", cpus: str | None = None, memory: str =
         .config("spark.sql.session.timeZone", "UTC")
         # Big expressions are built call by call; call-site capture doubles that.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # One machine: its temporary folder is shared by all that run here.
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="maskframe-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
@@ -41,26 +45,32 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can read and write: ``spark.checkpoint.dir``,
+    or where that is unset a folder in the session's warehouse, shared as well."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_maskframe").rstrip("/")
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for files a job writes and reads again: below the shared
-    folder of the cluster, or a temporary one in a local session without it."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix=f"maskframe-{name}-") + "/data"
+    """A new folder for files a job writes and reads again, removed when the session's Python ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(discard, spark, folder)
+    return folder
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage through a reliable checkpoint.
+def discard(spark: SparkSession, folder: str) -> None:
+    """Remove a folder through Spark's file systems; a folder that is gone is no error."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only
-    a local session without that setting gets a folder of its own.
-    """
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage through a reliable checkpoint in `shared_folder`."""
     context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="maskframe-"))
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
