@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskframe.llm import fingerprints, licenses, mixing, pieces, quality, token_counts, toxicity
+from maskframe.llm import fingerprints, jaccard_join, licenses, mixing, pieces, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -87,3 +87,9 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every document, and whether they decode to it."""
     return pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
+
+
+@_query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose four-word shingle sets are alike by 85 in 100."""
+    return jaccard_join.link_components(_table(spark, sf_dir, "documents"))
