@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskframe.llm import fingerprints, jaccard_join, licenses, mixing, pieces, quality, token_counts, toxicity
+from maskframe.llm import fingerprints, jaccard_join, licenses, mixing, passages, pieces, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,3 +93,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose four-word shingle sets are alike by 85 in 100."""
     return jaccard_join.link_components(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents repeat."""
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
