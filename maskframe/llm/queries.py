@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskframe.llm import fingerprints, jaccard_join, licenses, mixing, passages, pieces, quality, token_counts, toxicity
+from maskframe.llm import fingerprints, jaccard_join, licenses, mixing, nearest, passages, pieces, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -99,3 +99,9 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that documents repeat."""
     return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest others of every twentieth vector."""
+    return nearest.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
