@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskframe.llm.batches import map_texts, named, ragged, text_buffer
+from maskframe.llm.batches import map_texts, named, ragged, slices, text_buffer
 from maskframe.llm.words import distinct, words_of
 
 SAMPLE = 1500
@@ -206,3 +206,18 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     return scored.select(
         "doc_id", held_out_column(F.col("doc_id"), folds, fold).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model, text_column: str = "text", neighbours: int = NEIGHBOURS,
+             threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see `fit`
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            for part in slices(batch, text_column):
+                found = [known.score(c, neighbours) for c in _counts(part.column(text_column))]
+                yield part.filter(pa.array(np.concatenate(found) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
