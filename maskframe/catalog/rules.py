@@ -10,7 +10,7 @@ from maskframe.operators import desensitize as D
 from maskframe.operators.csv_text import infer_rule_from_context, surname_fallback
 from maskframe.operators.report import pii_report
 from maskframe.plans.rules import RULES_BY_ID
-from maskframe.session import spread_small
+from maskframe.session import spread
 
 _KEY = "cast(o_orderkey as string)"
 _D2 = "lpad(cast(o_orderkey % 28 + 1 as string), 2, '0')"
@@ -134,7 +134,7 @@ _MIXED = (f"concat('姓名：', {_NAME}, '，手机：138', {k(8)}, '，邮箱
  CAST(5 AS BIGINT) AS hits, '姓名|手机号|身份证号|邮箱|部门' AS types FROM orders""")
 def desensitize_text(spark, sf_dir):
     """All rules over one text with five kinds of values."""
-    d = spread_small(table(spark, sf_dir, "orders")).select("o_orderkey", D.desensitize(F.expr(_MIXED)).alias("d"))
+    d = spread(table(spark, sf_dir, "orders")).select("o_orderkey", D.desensitize(F.expr(_MIXED)).alias("d"))
     return d.select("o_orderkey", F.col("d.result").alias("result"), D.total_of(F.col("d.stats")).alias("hits"),
                     F.array_join(F.array_sort(F.map_keys("d.stats")), "|").alias("types"))
 
@@ -145,7 +145,7 @@ _WIDE = f"concat('手机１３８', chr(10), {k(8)}, chr(10), 'end')"
 @query(f"SELECT o_orderkey, concat('手机138****', {k(4)}, ' end') AS result, CAST(1 AS BIGINT) AS hits FROM orders")
 def desensitize_second_pass(spark, sf_dir):
     """A number broken by full-width digits and a line break: only the normalised scan finds it."""
-    d = spread_small(table(spark, sf_dir, "orders")).select("o_orderkey", D.desensitize(F.expr(_WIDE)).alias("d"))
+    d = spread(table(spark, sf_dir, "orders")).select("o_orderkey", D.desensitize(F.expr(_WIDE)).alias("d"))
     return d.select("o_orderkey", F.col("d.result").alias("result"), D.total_of(F.col("d.stats")).alias("hits"))
 
 
@@ -159,7 +159,7 @@ _PERSON = f"concat('用户_', substr(sha256({_NAME}), 1, 4))"
  CAST(2 AS BIGINT) AS names, CAST(2 AS BIGINT) AS phones, CAST(1 AS BIGINT) AS surnames FROM orders""")
 def desensitize_csv_text(spark, sf_dir):
     """CSV inside a text column, masked by its own header."""
-    d = spread_small(table(spark, sf_dir, "orders")).select("o_orderkey", D.desensitize(F.expr(_CSV)).alias("d"))
+    d = spread(table(spark, sf_dir, "orders")).select("o_orderkey", D.desensitize(F.expr(_CSV)).alias("d"))
     return d.select("o_orderkey", F.col("d.result").alias("result"), F.col("d.stats")["姓名"].alias("names"),
                     F.col("d.stats")["手机号"].alias("phones"), F.col("d.stats")["姓名[姓氏推断]"].alias("surnames"))
 
@@ -199,7 +199,7 @@ FROM documents WHERE len(regexp_extract_all(text, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-
  OR regexp_matches(text, '[0-9]{14}')""")
 def detect_in_documents(spark, sf_dir):
     """What two single rules find in the raw documents."""
-    docs = spread_small(table(spark, sf_dir, "documents"))
+    docs = spread(table(spark, sf_dir, "documents"))
     text = F.col("text")
     emails = F.size(D.rule_hits(text, RULES_BY_ID["T02"]))
     numbers = F.size(D.rule_hits(text, RULES_BY_ID["T49"]))
@@ -216,26 +216,26 @@ _EMAIL_RE = "[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}"
 SELECT doc_id, found[i] AS value, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x)))
  + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS INT) AS start FROM n""")
 def locate_emails(spark, sf_dir):
-    docs = spread_small(table(spark, sf_dir, "documents"))
+    docs = spread(table(spark, sf_dir, "documents"))
     return D.locate(docs, ["doc_id"], "text", (RULES_BY_ID["T02"],)).select("doc_id", "value", "start")
 
 
 @query()
 def desensitize_documents(spark, sf_dir):
     """The full scan over the real documents, summed per type."""
-    docs = spread_small(table(spark, sf_dir, "documents"))
+    docs = spread(table(spark, sf_dir, "documents"))
     scanned = docs.select("doc_id", D.desensitize(F.col("text")).alias("d"))
     return scanned.select("doc_id", F.col("d.result").alias("result"), D.total_of(F.col("d.stats")).alias("hits"))
 
 
 @query(name="detect")
 def detect_findings(spark, sf_dir):
-    return D.detect(spread_small(table(spark, sf_dir, "documents")), ["doc_id"], "text")
+    return D.detect(spread(table(spark, sf_dir, "documents")), ["doc_id"], "text")
 
 
 @query()
 def pii_report_documents(spark, sf_dir):
-    docs = spread_small(table(spark, sf_dir, "documents"))
+    docs = spread(table(spark, sf_dir, "documents"))
     scanned = docs.select("source", D.desensitize(F.col("text"))["stats"].alias("stats"))
     return pii_report(scanned, "stats", ["source"])
 

@@ -40,7 +40,7 @@ def masked_stream(spark, sf_dir):
 def _events(df):
     """Two data lines, a broken one and the end mark per message."""
     return df.withColumn("event", F.concat(
-        F.lit('event: delta\ndata: {"choices": [{"delta": {"content": '), F.to_json(F.array("text")).substr(F.lit(1), F.lit(100000)),
+        F.lit('event: delta\ndata: {"choices": [{"delta": {"content": '), F.to_json(F.array("text")),
         F.lit('}}], "n": 1}\ndata: {broken\ndata: [DONE]')))
 
 
@@ -63,7 +63,7 @@ def restored_stream(spark, sf_dir):
         f"{folder}/checkpoint", availableNow=True,
     ).awaitTermination()
     lines = F.split("event", "\n")
-    content = F.get(string_values(F.substring(F.get(lines, F.lit(1)), 7, 100000)), F.lit(0))
+    content = F.get(string_values(F.substring(F.get(lines, F.lit(1)), 7, F.length(F.get(lines, F.lit(1))))), F.lit(0))
     return spark.read.parquet(f"{folder}/out").select(
         *keys, content.alias("content"),
         ((F.get(lines, F.lit(0)) == "event: delta") & (F.get(lines, F.lit(2)) == "data: {broken")

@@ -11,7 +11,7 @@ from maskframe.operators.nested import mask_json, mask_nested
 from maskframe.operators.tables import detect_orientation, mask_eav, mask_sheets, mask_table
 from maskframe.plans.columns import classify_column, classify_name, normalize_name
 from maskframe.plans.rules import RULES_BY_ID
-from maskframe.session import spread_small
+from maskframe.session import spread
 
 
 def _long(df, key):
@@ -178,4 +178,4 @@ def mask_json_events(spark, sf_dir):
     """JSON of any shape: string values are masked, keys and numbers are not."""
     body = F.concat(F.lit('{"mail": "usr'), F.col("user_id").cast("string"), F.lit('@b.org", "user@b.org": '), F.col("user_id").cast("string"),
                     F.lit(', "props": '), F.col("props"), F.lit(', "q": ["a \\"b\\"", null, true]}'))
-    return spread_small(table(spark, sf_dir, "events")).select("event_id", mask_json(body, (RULES_BY_ID["T02"],)).alias("body"))
+    return spread(table(spark, sf_dir, "events")).select("event_id", mask_json(body, (RULES_BY_ID["T02"],)).alias("body"))

@@ -64,7 +64,7 @@ def _pairs(refs: DataFrame, keys: list[str], masked_paths: DataFrame, salts: int
 
 
 def rewrite_file_refs(commands: DataFrame, keys: list[str], command_column: str, masked_paths: DataFrame,
-                      extensions, salts: int = 8) -> DataFrame:
+                      extensions, salts: int = 1) -> DataFrame:
     """Replace each named file by its masked copy (``masked_paths``: path, masked_path).
 
     Adds ``replaced``, the number of files swapped.  Only (record, path) pairs
@@ -81,7 +81,7 @@ def rewrite_file_refs(commands: DataFrame, keys: list[str], command_column: str,
 
 
 def rewrite_path_lists(calls: DataFrame, keys: list[str], paths_column: str, masked_paths: DataFrame,
-                       extensions, salts: int = 8) -> DataFrame:
+                       extensions, salts: int = 1) -> DataFrame:
     """The same for an array column of paths (tool parameters)."""
     wanted = [e.lower() for e in sorted(extensions)]
     refs = calls.select(*keys, F.posexplode(F.array_distinct(paths_column)).alias("ordinal", "path")).filter(

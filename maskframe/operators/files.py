@@ -26,7 +26,7 @@ def file_totals(masked: DataFrame, stats_column: str = "mask_stats") -> DataFram
     )
 
 
-def only_changed(masked: DataFrame, stats_column: str = "mask_stats", salts: int = 8) -> DataFrame:
+def only_changed(masked: DataFrame, stats_column: str = "mask_stats", salts: int = 1) -> DataFrame:
     """The rows of files with at least one hit; other files need no copy."""
     changed = file_totals(masked, stats_column).filter("changed").select("path")
     return salted_join(masked, changed, ["path"], ["row_idx"], "left_semi", salts)

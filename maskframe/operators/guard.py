@@ -131,7 +131,7 @@ def conversation_verdicts(messages: DataFrame, conversation: str, turn: str, tex
 
 
 def guard_conversations(messages: DataFrame, verdicts: DataFrame, conversation: str, turn: str,
-                        salts: int = 8) -> dict[str, DataFrame]:
+                        salts: int = 1) -> dict[str, DataFrame]:
     """Messages of the conversations that may pass, and of those that may not.
 
     The side that is matched holds stopped conversations only; the messages of
@@ -155,7 +155,9 @@ def type_policy(df: DataFrame, keys: list[str], text_column: str, policy: dict[s
     """A different action per type: ``block``, ``reversible``, ``partial`` (mask) or ``allow``.
 
     Reversible types are tokenized before the rules run; the result has
-    ``allowed, data, stats, tokens``.
+    ``allowed, data, stats, tokens``.  The token forms are narrower than the
+    rules (no separators, no free passwords), so the rules of reversible types
+    still run: what could not be tokenized is masked, never passed.
     """
     unknown = [a for a in (*policy.values(), default) if a not in _ACTIONS]
     if unknown:
@@ -165,7 +167,7 @@ def type_policy(df: DataFrame, keys: list[str], text_column: str, policy: dict[s
     not_reversible = [label for label, a in policy.items() if a == "reversible" and label not in _REVERSIBLE]
     if not_reversible:
         raise ValueError(f"types without a token form: {not_reversible}")
-    masked_rules = tuple(r for r in select_rules() if action[r.label] in ("block", "partial"))
+    masked_rules = tuple(r for r in select_rules() if action[r.label] != "allow")
     work = df.withColumn("data", F.col(text_column))
     if reversible:
         order = tuple(name for name in PII_TYPES if name in reversible)

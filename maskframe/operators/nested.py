@@ -7,79 +7,17 @@ keys and field names pass through.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from maskframe.functions.jsontext import scan_string_values
 from maskframe.functions.splice import let
 from maskframe.operators.desensitize import desensitize
+from maskframe.operators.leaves import LeafMap, collect_leaves, map_leaves
+from maskframe.operators.joins import quoted
 from maskframe.operators.tables import merge_stats
 from maskframe.plans.rules import TEXT_RULES
 
-# A leaf function sees the value and the path of the leaf, e.g. "messages[0].content".
-LeafMap = Callable[[Column, Column], Column]
-
-
-def has_strings(data_type: T.DataType) -> bool:
-    if isinstance(data_type, T.StringType):
-        return True
-    if isinstance(data_type, T.StructType):
-        return any(has_strings(field.dataType) for field in data_type.fields)
-    if isinstance(data_type, T.ArrayType):
-        return has_strings(data_type.elementType)
-    if isinstance(data_type, T.MapType):
-        return has_strings(data_type.valueType)
-    return False
-
-
-def _index(path: Column, i: Column) -> Column:
-    return F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
-
-
-def map_leaves(value: Column, data_type: T.DataType, change: LeafMap, path: Column) -> Column:
-    """``value`` with ``change(leaf, path)`` for each string leaf; same type."""
-    if isinstance(data_type, T.StringType):
-        return change(value, path)
-    if not has_strings(data_type):
-        return value
-    if isinstance(data_type, T.StructType):
-        fields = [
-            map_leaves(value[f.name], f.dataType, change, F.concat(path, F.lit("." + f.name))).alias(f.name)
-            for f in data_type.fields
-        ]
-        return F.when(value.isNotNull(), F.struct(*fields))
-    if isinstance(data_type, T.ArrayType):
-        return F.transform(value, lambda v, i: map_leaves(v, data_type.elementType, change, _index(path, i)))
-    return F.transform_values(
-        value, lambda k, v: map_leaves(v, data_type.valueType, change, _index(path, k)))
-
-
-def collect_leaves(value: Column, data_type: T.DataType, visit: LeafMap, element_type: str, path: Column) -> Column:
-    """Concatenation of the arrays ``visit(leaf, path)`` gives for each string leaf."""
-    nothing = F.array().cast(f"array<{element_type}>")
-    if isinstance(data_type, T.StringType):
-        return F.coalesce(visit(value, path), nothing)
-    if not has_strings(data_type):
-        return nothing
-    if isinstance(data_type, T.StructType):
-        parts = [
-            collect_leaves(value[f.name], f.dataType, visit, element_type, F.concat(path, F.lit("." + f.name)))
-            for f in data_type.fields if has_strings(f.dataType)
-        ]
-        return F.concat(*parts)
-    if isinstance(data_type, T.ArrayType):
-        inner = F.transform(
-            value, lambda v, i: collect_leaves(v, data_type.elementType, visit, element_type, _index(path, i)))
-    else:
-        inner = F.transform(
-            F.map_entries(value),
-            lambda e: collect_leaves(e["value"], data_type.valueType, visit, element_type, _index(path, e["key"])))
-    return F.coalesce(F.flatten(inner), nothing)
-
-
 _LEAF_TYPE = "struct<path:string,value:string>"
 
 
@@ -93,7 +31,7 @@ def scan_leaves(df: DataFrame, columns: list[str], visit: LeafMap, into: str) ->
     """
     types = {c: df.schema[c].dataType for c in columns}
     leaf = lambda value, path: F.array(F.struct(path.alias("path"), value.alias("value")))
-    leaves = F.concat(*(collect_leaves(F.col(c), types[c], leaf, _LEAF_TYPE, F.lit(c)) for c in columns))
+    leaves = F.concat(*(collect_leaves(F.col(quoted(c)), types[c], leaf, _LEAF_TYPE, F.lit(c)) for c in columns))
     listed = df.withColumn(into, F.filter(leaves, lambda leaf: leaf["value"].isNotNull()))
     visited = listed.withColumn(into, F.transform(into, lambda leaf: F.struct(
         leaf["path"].alias("path"), visit(leaf["value"], leaf["path"]).alias("seen"))))
@@ -101,7 +39,7 @@ def scan_leaves(df: DataFrame, columns: list[str], visit: LeafMap, into: str) ->
     looked_up = visited.withColumn("_found", found)
     back = lambda value, path: F.try_element_at("_found", path)
     return looked_up.select(
-        *(map_leaves(F.col(c), types[c], back, F.lit(c)).alias(c) if c in types else F.col(c) for c in df.columns),
+        *(map_leaves(F.col(quoted(c)), types[c], back, F.lit(c)).alias(c) if c in types else F.col(quoted(c)) for c in df.columns),
         F.transform(into, lambda leaf: leaf["seen"]).alias(into),
     )
 
@@ -113,7 +51,7 @@ def mask_nested(df: DataFrame, columns: list[str], rules=TEXT_RULES, stats_colum
         return let(desensitize(value, rules), lambda d: F.struct(d["result"].alias("value"), d["stats"].alias("stats")))
 
     out = scan_leaves(df, columns, visit, "_leaves")
-    kept = [F.col(c) for c in df.columns]
+    kept = [F.col(quoted(c)) for c in df.columns]
     if stats_column:
         kept.append(merge_stats(F.transform("_leaves", lambda leaf: leaf["stats"])).alias(stats_column))
     return out.select(*kept)

@@ -11,7 +11,8 @@ from maskframe.functions.splice import let
 from maskframe.functions.text import is_blank, trim_blanks
 from maskframe.operators.desensitize import desensitize, total_of
 from maskframe.operators.entities import DEFAULT_BUCKET_ROWS, label_entities_table, number_entities
-from maskframe.operators.joins import salted_join
+from maskframe.operators.joins import null_safe_join, quoted, salted_join
+from maskframe.operators.leaves import has_strings, map_leaves
 from maskframe.plans.columns import ColumnRule, classify_column, classify_name, mask_by_rule
 from maskframe.plans.rules import TEXT_RULES
 
@@ -50,7 +51,7 @@ def _count(label: str, changed: Column) -> Column:
 def mask_table(df: DataFrame, mode: str = "substring", overrides: dict[str, str | None] | None = None,
                scan_text: bool = True, rules=TEXT_RULES, order: str | None = None,
                scope: list[str] | None = None, hashed_labels: bool = False,
-               stats_column: str | None = "mask_stats", salts: int = 8) -> DataFrame:
+               stats_column: str | None = "mask_stats", salts: int = 1) -> DataFrame:
     """Mask a wide table by its column names.
 
     Columns with a rule are masked as strings (amounts keep value and type);
@@ -59,8 +60,11 @@ def mask_table(df: DataFrame, mode: str = "substring", overrides: dict[str, str
     follow first appearance, which needs ``order`` (a unique integer row
     position, per ``scope``).  ``hashed_labels`` labels them by hash instead
     and keeps the job a plain projection.  ``overrides`` sets or (``None``)
-    removes the rule of a column.
+    removes the rule of a column.  Structs, arrays and maps keep their type:
+    their string leaves are masked by the column's rule or scanned.  The order
+    and scope columns are masked like any other; labels use copies of them.
     """
+    from maskframe.operators.nested import mask_nested
     from maskframe.plans.columns import RULES_BY_NAME
 
     found = classify_table(df.schema, mode)
@@ -68,18 +72,24 @@ def mask_table(df: DataFrame, mode: str = "substring", overrides: dict[str, str
         found.pop(name, None)
         if rule:
             found[name] = RULES_BY_NAME[rule]
-    keys = {order, *(scope or [])}
+    positions = {c: f"_position_{i}" for i, c in enumerate(dict.fromkeys([*(scope or []), *([order] if order else [])]))}
+    types = {field.name: field.dataType for field in df.schema.fields}
     entity_columns: dict[str, list[str]] = {}
     masked: dict[str, Column] = {}
     for name, rule in found.items():
-        if rule.name == "amount" or name in keys:
+        if rule.name == "amount":
             continue
-        if rule.entity and not hashed_labels:
+        nested = not isinstance(types[name], T.AtomicType)
+        if rule.entity and not hashed_labels and not nested:
             entity_columns.setdefault(rule.entity, []).append(name)
             continue
-        value = F.col(name).cast("string")
-        new = M._pseudonym(_ENTITY_PREFIX[rule.entity], value, 6) if rule.entity else rule.mask(value)
-        masked[name] = F.when(is_blank(value), value).otherwise(new)
+
+        def cell(value: Column, _path: Column | None = None, rule: ColumnRule = rule) -> Column:
+            new = M._pseudonym(_ENTITY_PREFIX[rule.entity], value, 6) if rule.entity else rule.mask(value)
+            return F.when(is_blank(value), value).otherwise(new)
+
+        column = F.col(quoted(name))
+        masked[name] = map_leaves(column, types[name], cell, F.lit("")) if nested else cell(column.cast("string"))
     if entity_columns and order is None:
         raise ValueError(
             f"columns {sorted(sum(entity_columns.values(), []))} are labelled by first appearance: "
@@ -87,32 +97,49 @@ def mask_table(df: DataFrame, mode: str = "substring", overrides: dict[str, str
         )
     scanned = [
         field.name for field in df.schema.fields
-        if scan_text and isinstance(field.dataType, T.StringType) and field.name not in found and field.name not in keys
+        if scan_text and isinstance(field.dataType, T.StringType) and field.name not in found
+    ]
+    nested_scans = [
+        field.name for field in df.schema.fields
+        if scan_text and not isinstance(field.dataType, T.StringType) and has_strings(field.dataType) and field.name not in found
     ]
 
     changed = sum(
-        (F.when(~masked[c].eqNullSafe(F.col(c).cast("string")), 1).otherwise(0) for c in masked), F.lit(0))
-    work = df
+        (F.when(~(masked[c].cast("string") if isinstance(types[c], T.AtomicType) else F.to_json(F.struct(masked[c]))).eqNullSafe(
+            F.col(quoted(c)).cast("string") if isinstance(types[c], T.AtomicType) else F.to_json(F.struct(F.col(quoted(c))))), 1)
+         .otherwise(0) for c in masked), F.lit(0))
+    work = df.select("*", *(F.col(quoted(c)).alias(copy) for c, copy in positions.items()))
     if stats_column:
         work = work.withColumn(stats_column, _count(HORIZONTAL_LABEL, changed))
     if scanned:
         # One expression for all text columns: they become an array for a moment.
-        cells = F.transform(F.array(*map(F.col, scanned)), lambda cell: desensitize(cell, rules))
+        cells = F.transform(F.array(*(F.col(quoted(c)) for c in scanned)), lambda cell: desensitize(cell, rules))
         work = work.withColumn("_scan", cells)
         if stats_column:
             text_stats = merge_stats(F.transform("_scan", lambda cell: cell["stats"]))
             work = work.withColumn(stats_column, add_stats(F.col(stats_column), text_stats))
     results = {name: F.get("_scan", F.lit(i))["result"] for i, name in enumerate(scanned)}
     outputs = [
-        (masked.get(c) if c in masked else results.get(c, F.col(c))).alias(c) for c in df.columns
-    ] + ([F.col(stats_column)] if stats_column else [])
+        (masked[c] if c in masked else results.get(c, F.col(quoted(c)))).alias(c) for c in df.columns
+    ] + ([F.col(quoted(stats_column))] if stats_column else []) + list(positions.values())
     out = work.select(*outputs)
+    if nested_scans:
+        leaves = mask_nested(out, nested_scans, rules, "_nested_stats" if stats_column else None)
+        if stats_column:
+            leaves = leaves.withColumn(stats_column, add_stats(F.col(quoted(stats_column)), F.col("_nested_stats")))
+        out = leaves.drop("_nested_stats")
     for entity, columns in entity_columns.items():
         if stats_column:
-            filled = sum((F.when(~is_blank(F.col(c).cast("string")), 1).otherwise(0) for c in columns), F.lit(0))
-            out = out.withColumn(stats_column, add_stats(F.col(stats_column), _count(HORIZONTAL_LABEL, filled)))
-        out = label_entities_table(out, columns, _ENTITY_PREFIX[entity], order, scope, salts=salts)
-    return out
+            before = {c: f"_before_{i}" for i, c in enumerate(columns)}
+            out = out.select("*", *(F.col(quoted(c)).cast("string").alias(copy) for c, copy in before.items()))
+        out = label_entities_table(out, columns, _ENTITY_PREFIX[entity], positions[order],
+                                   [positions[c] for c in scope or []], salts=salts)
+        if stats_column:
+            # Counted from what came out, not from what should have.
+            filled = sum((F.when(~F.col(quoted(c)).eqNullSafe(F.col(copy)), 1).otherwise(0) for c, copy in before.items()), F.lit(0))
+            out = out.withColumn(stats_column, add_stats(F.col(quoted(stats_column)), _count(HORIZONTAL_LABEL, filled)))
+            out = out.drop(*before.values())
+    return out.drop(*positions.values())
 
 
 def _cell_result(value: Column, rule: Column, label: str, entities, rules) -> Column:
@@ -145,7 +172,7 @@ def _hashed_entities():
 
 
 def mask_eav(df: DataFrame, field: str, value: str, order: str | None = None, scope: list[str] | None = None,
-             rules=TEXT_RULES, stats_column: str = "mask_stats", salts: int = 8) -> DataFrame:
+             rules=TEXT_RULES, stats_column: str = "mask_stats", salts: int = 1) -> DataFrame:
     """Mask a key/value table: the rule comes from the field name of each row.
 
     Classification is an expression over the field name, so the job needs no
@@ -215,7 +242,7 @@ def detect_orientation(cells: DataFrame) -> DataFrame:
 
 
 def mask_sheets(cells: DataFrame, rules=TEXT_RULES, bucket_rows: int = DEFAULT_BUCKET_ROWS,
-                salts: int = 8) -> DataFrame:
+                salts: int = 1) -> DataFrame:
     """Mask parsed sheets: ``path, sheet, row_idx, cells`` plus ``mask_stats``.
 
     Wide sheets keep their first row and are masked by it; long sheets keep
@@ -251,7 +278,7 @@ def mask_sheets(cells: DataFrame, rules=TEXT_RULES, bucket_rows: int = DEFAULT_B
     row_labels = located.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct(
             F.concat_ws(":", "_rule", "_value"), F.col("position")))).alias("_labels"))
-    rows = rows.join(row_labels, keys, "left")
+    rows = null_safe_join(rows, row_labels, keys, "left")
 
     label = lambda rule, prefix: (
         lambda v: M.sequence_label(prefix, F.try_element_at("_labels", F.concat_ws(":", F.lit(rule), v))))

@@ -11,7 +11,8 @@ from maskframe.functions.crypto import decrypt_value, encrypt_value
 from maskframe.functions.jsontext import map_string_values, scan_string_values, string_values
 from maskframe.functions.splice import cut, find_all, join_pieces, let, match_starts, weave
 from maskframe.operators.joins import salted_join
-from maskframe.operators.nested import collect_leaves, map_leaves, scan_leaves
+from maskframe.operators.leaves import collect_leaves, map_leaves
+from maskframe.operators.nested import scan_leaves
 
 _WORD = "[0-9A-Za-z_]"
 _EDGE = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
@@ -104,13 +105,14 @@ def resolve_overlaps(spans: Column) -> Column:
 
 
 def token_number(*identity: Column) -> Column:
-    """36 decimal digits from a hash of the record and the leaf.
+    """38 decimal digits from a hash of the record and the leaf.
 
     120 bits keep tokens apart across trillions of records, and a task that
     runs twice gives the same token twice.
     """
     digest = F.sha2(F.concat_ws("\x1f", *identity), 256)
-    half = lambda at: F.lpad(F.conv(F.substring(digest, at, 15), 16, 10), 18, "0")
+    def half(at: int) -> Column:
+        return F.lpad(F.conv(F.substring(digest, at, 15), 16, 10), 19, "0")  # 60 bits have up to 19 digits
     return F.concat(half(1), half(16))
 
 
@@ -204,7 +206,7 @@ def token_pattern(prefix: str = DEFAULT_PREFIX, suffix: str = DEFAULT_SUFFIX) ->
 
 def detokenize(df: DataFrame, keys: list[str], columns: list[str], vault: DataFrame, key: bytes,
                prefix: str = DEFAULT_PREFIX, suffix: str = DEFAULT_SUFFIX, json_columns=(),
-               salts: int = 8) -> DataFrame:
+               salts: int = 1) -> DataFrame:
     """Put the values back; unknown or undecryptable tokens stay.  Adds ``restored``.
 
     Only (record, token) pairs travel to the vault, never the texts.  The
@@ -233,12 +235,12 @@ def detokenize(df: DataFrame, keys: list[str], columns: list[str], vault: DataFr
     pairs = touched.select(*keys, F.explode(used).alias("token_id"))
     wanted = pairs.select("token_id").distinct()
     known = (
-        wanted.join(vault.select("token_id", "ciphertext").dropDuplicates(["token_id"]), "token_id")
+        wanted.join(vault.select("token_id", "ciphertext"), "token_id").dropDuplicates(["token_id"])
         .select("token_id", decrypt_value(F.col("ciphertext"), key).alias("_plain"))
         .filter(F.col("_plain").isNotNull())
     )
     per_record = salted_join(pairs, known, ["token_id"], keys, "inner", salts).groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("token_id", "_plain"))).alias("_values"))
+        F.map_from_entries(F.collect_set(F.struct("token_id", "_plain"))).alias("_values"))
     joined = touched.join(per_record, keys, "left")
 
     def restored(value: Column) -> Column:
@@ -286,12 +288,15 @@ def vault_stats(vault: DataFrame) -> DataFrame:
 
 def expire_vault(vault: DataFrame, session: str | None = None, older_than: Column | None = None,
                  ttl_hours: float | None = None) -> DataFrame:
-    """The vault without a session's tokens, or without tokens past their time to live."""
+    """The vault without a session's tokens, or without tokens past their time to live.
+
+    A token without a creation time is kept: it could never be restored again.
+    """
     keep = F.lit(True)
     if session is not None:
         keep = keep & ~F.col("session_id").eqNullSafe(F.lit(session))
     if ttl_hours is not None:
         older_than = F.current_timestamp() - F.make_dt_interval(secs=F.lit(ttl_hours * 3600.0))
     if older_than is not None:
-        keep = keep & (F.col("created_ts") >= older_than)
+        keep = keep & F.coalesce(F.col("created_ts") >= older_than, F.lit(True))
     return vault.filter(keep)

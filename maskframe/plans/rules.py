@@ -221,7 +221,8 @@ _SECRET = (
     rf"|pwd|auth_?token|session_?id)[=＝{WS}:]+[\"']?([a-zA-Z0-9_\-.]{{6,128}})[\"']?"
 )
 _SECRET_PREFIX = rf"^[^(=＝{WS}:)]+[=＝{WS}:]+"
-_EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+# Only the start of a run, or where the match before ended, can start an e-mail: no start inside a run rescans it.
+_EMAIL = r"(?:\G|(?<![a-zA-Z0-9._%+\-]))[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 _PHONE_SEP = rf"[{WS}\-./\\]?"
 _LINE_START = rf"(?:\A|(?<=[{WS}，,、。；;]))"
 _ANCHOR_START = rf"(?:\A|(?<=[{WS},、。；;]))"

@@ -1,4 +1,4 @@
-"""Session settings for local runs and a helper for small inputs.
+"""Session settings for local runs, shared folders and checkpoints.
 
 On a cluster bring your own session: nothing in the package needs special
 settings beyond adaptive execution, which Spark turns on by default.
@@ -29,20 +29,22 @@ def local_session(app: str = "maskframe", cpus: str | None = None, memory: str =
         # One machine: its temporary folder is shared by all that run here.
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="maskframe-"))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.maskframe.scan.partitions", cpus if cpus.isdigit() else "8")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread an input of fewer files than cores over all cores.
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over as many partitions as the setting ``spark.maskframe.scan.partitions``
+    says, or as it is where that is not set.
 
-    Text scanning is bound by the CPU, and one small file is one task.  Data
-    big enough to matter comes in more files than that and is not moved.
+    Scanning text is bound by the CPU, so a table in a few large files that
+    can't be split gains from it; nothing else decides whether rows move.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    wanted = df.sparkSession.conf.get("spark.maskframe.scan.partitions", None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -1,28 +1,24 @@
 """Files to rows of cells: ``path, sheet, sheet_idx, row_idx, cells``.
 
-CSV is split and parsed by Spark itself.  Office documents arrive as whole
-files (``binaryFile``) and are decoded one at a time by `mapInPandas`; a file
-that cannot be decoded becomes one row with ``error`` set.
+CSV is split and parsed by Spark itself.  Other formats come in through the
+registry: a reader of one's own gives the same columns, with ``error`` set and
+``cells`` null for a file that it cannot read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskframe.functions.text import is_blank, parse_csv_line
-from maskframe.sources import office
 
 CELL_SCHEMA = "path string, sheet string, sheet_idx int, row_idx bigint, cells array<string>, error string"
 CELL_COLUMNS = ["path", "sheet", "sheet_idx", "row_idx", "cells", "error"]
 CSV_SHEET = "Sheet1"
 
-RowDecoder = Callable[[bytes], Iterator[tuple[str, list[str]]]]
-
 
 def _glob(extensions) -> str:
     """A glob that ignores case, for a comma list of extensions."""
@@ -42,7 +38,7 @@ def read_csv_cells(spark: SparkSession, paths, extensions=(".csv",)) -> DataFram
     """
     lines = (
         spark.read.option("pathGlobFilter", _glob(extensions)).option("recursiveFileLookup", "true").text(paths)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
+        .select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), F.col("_metadata.file_block_start").alias("_block"),
                 F.monotonically_increasing_id().alias("_at"), F.col("value"))
         .filter(~is_blank(F.col("value")))
     )
@@ -64,66 +60,11 @@ def read_csv_table(spark: SparkSession, paths) -> DataFrame:
     return spark.read.csv(paths, header=True, inferSchema=False, quote='"', escape='"', multiLine=False)
 
 
-def decode_files(files: DataFrame, decoder: RowDecoder) -> DataFrame:
-    """``path, content`` rows to cells; one file is decoded at a time."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                yield _decode_one(path, bytes(content), decoder)
-
-    return files.select("path", "content").mapInPandas(decode, CELL_SCHEMA)
-
-
-def _decode_one(path: str, content: bytes, decoder: RowDecoder) -> pd.DataFrame:
-    rows, sheets, counts = [], {}, {}
-    try:
-        for sheet, cells in decoder(content):
-            number = sheets.setdefault(sheet, len(sheets))
-            counts[sheet] = counts.get(sheet, -1) + 1
-            rows.append((path, sheet, number, counts[sheet], cells, None))
-    except Exception as problem:  # noqa: BLE001 - any broken file is data, not a failure of the job
-        rows = [(path, None, None, None, None, f"{type(problem).__name__}: {problem}"[:500])]
-    return pd.DataFrame(rows, columns=CELL_COLUMNS).astype({"sheet_idx": "Int32", "row_idx": "Int64"})
-
-
-def _binary(spark: SparkSession, paths, extensions) -> DataFrame:
-    return (
-        spark.read.format("binaryFile").option("pathGlobFilter", _glob(extensions))
-        .option("recursiveFileLookup", "true").load(paths)
-    )
-
-
-def office_reader(decoder: RowDecoder, extensions) -> Callable[[SparkSession, object], DataFrame]:
-    return lambda spark, paths: decode_files(_binary(spark, paths, extensions), decoder)
-
-
-def read_xlsx_cells(spark: SparkSession, paths) -> DataFrame:
-    return office_reader(office.xlsx_rows, (".xlsx", ".xlsm"))(spark, paths)
-
-
-def _as_paragraphs(cells: DataFrame, part: str, number: str) -> DataFrame:
-    return cells.select("path", F.col("sheet").alias(part), F.col("row_idx").alias(number),
-                        F.get("cells", F.lit(0)).alias("text"), "error")
-
-
-def read_docx_paragraphs(spark: SparkSession, paths) -> DataFrame:
-    return _as_paragraphs(office_reader(office.docx_rows, (".docx", ".dotx"))(spark, paths), "part", "para_idx")
-
-
-def read_pptx_paragraphs(spark: SparkSession, paths) -> DataFrame:
-    return _as_paragraphs(office_reader(office.pptx_rows, (".pptx", ".potx"))(spark, paths), "slide", "para_idx")
-
-
-def read_pdf_lines(spark: SparkSession, paths) -> DataFrame:
-    return _as_paragraphs(office_reader(office.pdf_rows, (".pdf",))(spark, paths), "part", "line_idx")
-
-
 @dataclass(frozen=True)
 class FileFormat:
     name: str
     extensions: tuple[str, ...]
-    read: Callable[[SparkSession, object], DataFrame]
+    read: Callable[[SparkSession, object, tuple[str, ...]], DataFrame]  # session, paths, extensions
 
 
 class FormatRegistry:
@@ -150,22 +91,30 @@ class FormatRegistry:
 
 
 def default_registry() -> FormatRegistry:
-    office_formats = (
-        ("xlsx", (".xlsx", ".xlsm"), office.xlsx_rows),
-        ("docx", (".docx", ".dotx"), office.docx_rows),
-        ("pptx", (".pptx", ".potx"), office.pptx_rows),
-        ("pdf", (".pdf",), office.pdf_rows),
-    )
-    return FormatRegistry(
-        [FileFormat("csv", (".csv",), read_csv_cells)]
-        + [FileFormat(name, ext, office_reader(decoder, ext)) for name, ext, decoder in office_formats]
-    )
+    return FormatRegistry([FileFormat("csv", (".csv",), read_csv_cells)])
+
+
+def list_files(spark: SparkSession, paths, registry: FormatRegistry | None = None) -> DataFrame:
+    """``path, bytes, known``: every file below ``paths``, and whether a reader knows its extension.
+
+    Only names and sizes are read, never the contents.
+    """
+    known = sorted((registry or default_registry()).supported_extensions)
+    extension = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    return files.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("bytes"),
+                        (extension.isin(known) if known else F.lit(False)).alias("known"))
 
 
 def read_files_by_extension(spark: SparkSession, paths, registry: FormatRegistry | None = None) -> DataFrame:
-    """All files below ``paths`` with a known extension, as one frame of cells."""
-    frames = [f.read(spark, paths) for f in (registry or default_registry()).formats()]
-    cells = frames[0].select(*CELL_COLUMNS)
-    for frame in frames[1:]:
-        cells = cells.unionByName(frame.select(*CELL_COLUMNS))
+    """All files below ``paths`` with a known extension, as one frame of cells.
+
+    Each extension is read once, by the first format registered for it.
+    """
+    registry = registry or default_registry()
+    cells = spark.createDataFrame([], CELL_SCHEMA)
+    for file_format in registry.formats():
+        own = tuple(e for e in file_format.extensions if registry.find(e) is file_format)
+        if own:
+            cells = cells.unionByName(file_format.read(spark, paths, own).select(*CELL_COLUMNS))
     return cells

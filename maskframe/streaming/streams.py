@@ -42,7 +42,7 @@ def event_payload(event: Column) -> Column:
 
 
 def detokenize_events(events: DataFrame, keys: list[str], event_column: str, vault: DataFrame, key: bytes,
-                      prefix: str = DEFAULT_PREFIX, suffix: str = DEFAULT_SUFFIX, salts: int = 8) -> DataFrame:
+                      prefix: str = DEFAULT_PREFIX, suffix: str = DEFAULT_SUFFIX, salts: int = 1) -> DataFrame:
     """Restore the tokens in the JSON data lines of events (a batch, or one micro-batch).
 
     Lines that are no JSON, other fields and the end mark stay as they are.
