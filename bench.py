@@ -13,7 +13,7 @@ from maskframe.session import local_session
 HEADLINE = (
     "mask_phone", "mask_email", "mask_table_orders", "label_entities_table", "pii_spans", "tokenize",
     "rewrite_file_refs", "detect_in_documents", "detokenize_documents", "might_contain_sensitive",
-    "mask_json_events", "desensitize_documents",
+    "mask_json_events", "desensitize_documents", "guard", "mask_sheets", "mask_files",
 )
 
 

@@ -70,12 +70,8 @@ def restored_stream(spark, sf_dir):
          & (F.get(lines, F.lit(3)) == "data: [DONE]")).alias("rest_unchanged"), "restored")
 
 
-@query("""SELECT CAST(conv_id AS VARCHAR) AS stream_id, rank - 1 AS event_no, concat('data: ', turn) AS event
-FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations)""", name="reassemble_events")
-def reassembled(spark, sf_dir):
-    """Every message is an event; its delimiter is cut in two and its text comes in two chunks."""
-    folder = scratch_folder(spark, "reassemble")
-    messages = table(spark, sf_dir, "conversations")
+def _chunks(messages):
+    """Each message is an event; its delimiter is cut in two and its text comes in two chunks."""
     first = messages.groupBy("conv_id").agg(F.min("turn").alias("first"))
     numbered = messages.join(first, "conv_id").withColumn("at", F.col("turn") - F.col("first"))
     pieces = F.array(
@@ -85,7 +81,25 @@ def reassembled(spark, sf_dir):
         F.col("conv_id").cast("string").alias("stream_id"), (F.col("at") * 2 + F.col("half")).cast("bigint").alias("seq"), "chunk")
     ends = numbered.groupBy("conv_id").agg(F.max("at").alias("at")).select(
         F.col("conv_id").cast("string").alias("stream_id"), (F.col("at") * 2 + 2).cast("bigint").alias("seq"), F.lit("\n").alias("chunk"))
-    chunks.unionByName(ends).write.parquet(f"{folder}/in")
+    return chunks.unionByName(ends)
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS stream_id, rank - 1 AS event_no, concat('data: ', turn) AS event
+FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations)""", name="reassemble_events")
+def reassembled(spark, sf_dir):
+    """Every message is an event; its delimiter is cut in two and its text comes in two chunks."""
+    folder = scratch_folder(spark, "reassemble")
+    _chunks(table(spark, sf_dir, "conversations")).write.parquet(f"{folder}/in")
     arriving = spark.readStream.schema("stream_id string, seq bigint, chunk string").parquet(f"{folder}/in")
     out = _run(reassemble_events(arriving, timeout_ms=None), spark, "reassembled")
     return out.filter("complete").select("stream_id", "event_no", "event")
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS stream_id, rank - 1 AS event_no, concat(CASE WHEN rank = 1 THEN 'ta: ' ELSE 'data: ' END, turn) AS event,
+ false AS complete FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations)""")
+def reassemble_gap(spark, sf_dir):
+    """Without the first chunk of a stream the rest comes out, split and marked as incomplete."""
+    folder = scratch_folder(spark, "reassemble-gap")
+    _chunks(table(spark, sf_dir, "conversations")).filter("seq > 0").write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema("stream_id string, seq bigint, chunk string").parquet(f"{folder}/in")
+    return _run(reassemble_events(arriving, timeout_ms=None, max_waiting=0), spark, "reassembled-gap")

@@ -179,3 +179,37 @@ def mask_json_events(spark, sf_dir):
     body = F.concat(F.lit('{"mail": "usr'), F.col("user_id").cast("string"), F.lit('@b.org", "user@b.org": '), F.col("user_id").cast("string"),
                     F.lit(', "props": '), F.col("props"), F.lit(', "q": ["a \\"b\\"", null, true]}'))
     return spread(table(spark, sf_dir, "events")).select("event_id", mask_json(body, (RULES_BY_ID["T02"],)).alias("body"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, concat('V', o_custkey % 40) AS vendor FROM orders),
+ r AS (SELECT vendor, row_number() OVER (ORDER BY min(o_orderkey)) AS n FROM o GROUP BY vendor)
+SELECT o_orderkey % 1000 AS slot, concat('单号_', substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS order_id,
+ concat('供应商_', CASE WHEN n <= 26 THEN chr(CAST(64 + n AS INT)) ELSE CAST(n AS VARCHAR) END) AS vendor
+FROM o JOIN r USING (vendor)""")
+def mask_table_order_column(spark, sf_dir):
+    """The column that orders the labels is masked like any other."""
+    df = table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") % 1000).alias("slot"), F.col("o_orderkey").alias("order_id"),
+        F.expr("concat('V', cast(o_custkey % 40 as string))").alias("vendor"))
+    return mask_table(df, order="order_id", stats_column=None, scan_text=False)
+
+
+@query("""WITH c AS (SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 's' END AS scope, concat('P', c_custkey % 9) AS party FROM customer),
+ r AS (SELECT scope, party, row_number() OVER (PARTITION BY scope ORDER BY min(c_custkey)) AS n FROM c GROUP BY scope, party)
+SELECT c_custkey, c.scope, concat('供应商_', chr(CAST(64 + n AS INT))) AS party FROM c JOIN r ON c.party = r.party AND c.scope IS NOT DISTINCT FROM r.scope""")
+def label_null_scope(spark, sf_dir):
+    """Rows without a scope are a scope of their own."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.expr("CASE WHEN c_nationkey % 2 = 0 THEN 's' END").alias("scope"),
+                                                 F.expr("concat('P', cast(c_custkey % 9 as string))").alias("party"))
+    return label_entities_table(df, ["party"], "供应商_", "c_custkey", ["scope"])
+
+
+@query("""SELECT c_custkey, concat('138****', lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')) AS phone,
+ concat('mail u', repeat('*', CAST(length(CAST(c_custkey AS VARCHAR)) AS BIGINT)), 'x@b.org') AS note FROM customer""")
+def mask_table_nested(spark, sf_dir):
+    """Arrays keep their type under a rule; structs without one are scanned."""
+    df = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.expr("array(concat('138', lpad(cast(c_custkey as string), 8, '0')))").alias("phones"),
+        F.expr("struct(concat('mail u', cast(c_custkey as string), 'x@b.org') as m)").alias("body.part"))
+    out = mask_table(df, stats_column=None)
+    return out.select("c_custkey", F.get("phones", F.lit(0)).alias("phone"), F.col("`body.part`.m").alias("note"))

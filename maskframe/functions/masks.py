@@ -251,8 +251,7 @@ def mask_secret(value: Column) -> Column:
     )
 
 
-# Masks of one argument by public name; what `register_masks` publishes to SQL
-# and what the per-mask queries iterate over.
+# Masks of one argument by public name; what the per-mask queries iterate over.
 VALUE_MASKS = {
     mask.__name__: mask
     for mask in (

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskframe.functions import masks as M
+from maskframe.functions.splice import let
 from maskframe.functions.text import is_blank
 from maskframe.operators.joins import null_safe_join, quoted, salted_join
 
@@ -26,7 +27,8 @@ def pseudonym_hash(value: Column, prefix: str, digits: int = 4) -> Column:
 
 def label_entities_row(values: Column, prefix: str) -> Column:
     """Labels of an array of values, A for the first distinct one."""
-    return F.transform(values, lambda value: M.label_in(F.array_distinct(values), value, prefix))
+    return let(F.array_distinct(values), lambda distinct: F.transform(
+        values, lambda value: M.label_in(distinct, value, prefix)))
 
 
 def running_totals(sizes: DataFrame, scope: list[str], bucket: str, size: str, group: int = 4096) -> DataFrame:

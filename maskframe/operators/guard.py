@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskframe.functions.charset import WS
-from maskframe.functions.jsontext import is_json
+from maskframe.functions.jsontext import is_json, string_values
 from maskframe.operators.desensitize import HITS_TYPE, desensitize, stats_of, total_of
 from maskframe.operators.joins import salted_join
 from maskframe.operators.nested import scan_json
@@ -60,7 +60,9 @@ def guard(df: DataFrame, text_column: str, block: bool = True, skip: str = DEFAU
 
     Any hit stops a record when ``block`` is set; otherwise its masked form
     passes.  A record that cannot be scanned (broken encoding, unparsable JSON)
-    is stopped, or passed on unchanged with ``on_error="pass"``.
+    is stopped, or passed on unchanged with ``on_error="pass"``.  With ``json``
+    the skip prefix counts in front of any string in the body (a message, a
+    content part, ``system`` or ``prompt``).
     """
     text = F.col(text_column)
     if json:
@@ -73,7 +75,8 @@ def guard(df: DataFrame, text_column: str, block: bool = True, skip: str = DEFAU
         work = df.withColumn("_error", F.when(~F.is_valid_utf8(text), F.lit("invalid UTF-8")))
         scan = desensitize(F.when(F.col("_error").isNull(), text), rules)
         work = work.withColumn("_scan", scan).select("*", F.col("_scan.result").alias("_data"), F.col("_scan.stats").alias("_stats"))
-    work = work.withColumn("_skip", skips_guard(text, skip))
+    opted_out = F.exists(string_values(F.when(F.col("_error").isNull(), text)), lambda v: skips_guard(v, skip)) if json else skips_guard(text, skip)
+    work = work.withColumn("_skip", F.coalesce(opted_out, F.lit(False)))
     work = work.withColumn("_stats", F.when(F.col("_skip"), F.create_map().cast("map<string,bigint>")).otherwise(F.col("_stats")))
     return _verdict(work, text, block, on_error)
 

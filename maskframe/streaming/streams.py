@@ -79,52 +79,76 @@ def detokenize_stream(events: DataFrame, keys: list[str], event_column: str, rea
 
 
 EVENT_SCHEMA = "stream_id string, event_no bigint, event string, complete boolean"
-_STATE_SCHEMA = "next_seq bigint, event_no bigint, tail string, waiting_seq array<bigint>, waiting_chunk array<string>"
+_STATE_SCHEMA = (
+    "next_seq bigint, event_no bigint, tail string, waiting_seq array<bigint>, waiting_chunk array<string>, missing array<bigint>")
 
 
 def reassemble_events(chunks: DataFrame, stream_id: str = "stream_id", seq: str = "seq", chunk: str = "chunk",
-                      timeout_ms: int | None = 60_000) -> DataFrame:
+                      timeout_ms: int | None = 60_000, max_waiting: int = 10_000) -> DataFrame:
     """Raw chunks to complete events on the blank-line delimiter, per stream.
 
     ``seq`` counts the chunks of a stream from 0.  Chunks are passed on in that
     order as soon as they connect; the state holds the unfinished tail and the
-    chunks that arrived early, never a whole stream.  A stream that falls
-    silent for ``timeout_ms`` is flushed: what is left comes out with ``complete``
-    false.  ``None`` never flushes; a replay that is to end by itself
+    chunks that arrived early.  A stream that falls silent for ``timeout_ms``,
+    or that has more than ``max_waiting`` early chunks behind a gap when a trigger ends, is flushed:
+    what is there comes out, split at its blank lines, with ``complete`` false.
+    The stream then goes on behind what was flushed, event numbers included; a
+    chunk of the gap that still arrives comes out by itself, with ``complete``
+    false.  Nothing is dropped but chunks that came before.
+
+    ``timeout_ms=None`` sets no timer; a replay that is to end by itself
     (``availableNow``) needs that, since a timer keeps a query alive.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
-            next_seq, event_no, tail, seqs, texts = state.get
-            waiting = dict(zip(list(seqs), list(texts)))
+            next_seq, event_no, tail, seqs, texts, gaps = state.get
+            waiting, missing = dict(zip(list(seqs), list(texts))), set(gaps)
         else:
-            next_seq, event_no, tail, waiting = 0, 0, "", {}
+            next_seq, event_no, tail, waiting, missing = 0, 0, "", {}, set()
 
         def frame(events: list[str], complete: bool) -> pd.DataFrame:
+            nonlocal event_no
+            first, event_no = event_no, event_no + len(events)
             return pd.DataFrame({
-                "stream_id": [key[0]] * len(events), "event_no": range(event_no, event_no + len(events)),
+                "stream_id": [key[0]] * len(events), "event_no": range(first, event_no),
                 "event": events, "complete": [complete] * len(events)})
 
-        if timeout_ms is not None and state.hasTimedOut:
+        def flush() -> list[str]:
+            nonlocal next_seq, tail
             rest = tail + "".join(waiting[s] for s in sorted(waiting))
-            state.remove()
-            if rest.strip():
-                yield frame([rest], False)
-            return
-        for batch in batches:
-            for number, text in zip(batch[seq], batch[chunk]):
-                if number >= next_seq:
-                    waiting[int(number)] = text
-            while next_seq in waiting:
-                *events, tail = (tail + waiting.pop(next_seq)).split("\n\n")
-                next_seq += 1
-                if events:
-                    yield frame(events, True)
-                    event_no += len(events)
+            if waiting:
+                missing.update(set(range(next_seq, max(waiting))) - set(waiting))
+                next_seq = max(waiting) + 1
+            waiting.clear()
+            tail = ""
+            return [event for event in rest.split("\n\n") if event.strip()]
+
+        if timeout_ms is not None and state.hasTimedOut:
+            left = flush()
+            if left:
+                yield frame(left, False)
+        else:
+            late: list[str] = []
+            for batch in batches:
+                for number, text in zip(batch[seq], batch[chunk]):
+                    if number >= next_seq:
+                        waiting[int(number)] = text
+                    elif int(number) in missing:
+                        missing.discard(int(number))
+                        late.append(text)
+                while next_seq in waiting:
+                    *events, tail = (tail + waiting.pop(next_seq)).split("\n\n")
+                    next_seq += 1
+                    if events:
+                        yield frame(events, True)
+            if len(waiting) > max_waiting:
+                late += flush()
+            if late:
+                yield frame(late, False)
         order = sorted(waiting)
-        state.update((next_seq, event_no, tail, order, [waiting[s] for s in order]))
-        if timeout_ms is not None:
+        state.update((next_seq, event_no, tail, order, [waiting[s] for s in order], sorted(missing)))
+        if timeout_ms is not None and (waiting or tail):
             state.setTimeoutDuration(timeout_ms)
 
     timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
