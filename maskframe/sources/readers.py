@@ -97,7 +97,7 @@ def default_registry() -> FormatRegistry:
 def list_files(spark: SparkSession, paths, registry: FormatRegistry | None = None) -> DataFrame:
     """``path, bytes, known``: every file below ``paths``, and whether a reader knows its extension.
 
-    Only names and sizes are read, never the contents.
+    Only names and sizes are read, never the contents.  Spark hands out no empty files, so they are not listed.
     """
     known = sorted((registry or default_registry()).supported_extensions)
     extension = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
