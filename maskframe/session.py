@@ -7,10 +7,12 @@ settings beyond adaptive execution, which Spark turns on by default.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -66,8 +68,9 @@ def discard(spark: SparkSession, folder: str) -> None:
     context = spark.sparkContext
     if context._jsc is None or context._jsc.sc().isStopped():
         return
-    path = context._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    with contextlib.suppress(Py4JError, OSError):  # at the end of a program the JVM may be gone already
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
