@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from maskframe.llm.batches import map_texts, named, ragged, text_buffer
+from maskframe.llm.batches import LARGE_SLICE_BYTES, map_texts, named, ragged, text_buffer
 from maskframe.llm.token_counts import BLANK, splits_hold
 from maskframe.llm.words import hash_runs
 
@@ -262,7 +262,7 @@ def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
 
     rows = named(docs, doc_id=id_column, text=text_column)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_texts(rows, "text", make, f"doc_id {kind}, piece_ids array<int>, n_pieces bigint, round_trip boolean")
+    return map_texts(rows, "text", make, f"doc_id {kind}, piece_ids array<int>, n_pieces bigint, round_trip boolean", LARGE_SLICE_BYTES)
 
 
 def decode(rows: DataFrame, model: str, id_column: str = "doc_id", ids_column: str = "piece_ids") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskframe.llm.batches import map_texts, named, text_buffer
+from maskframe.llm.batches import LARGE_SLICE_BYTES, map_texts, named, text_buffer
 from maskframe.llm.words import hash_bytes, hash_runs
 
 BLANK = "▁"
@@ -144,5 +144,5 @@ def count_tokens(docs: DataFrame, model: str, id_column: str = "doc_id", text_co
     rows = named(docs, doc_id=id_column, text=text_column).select(
         "doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    counted = map_texts(rows, "text", make, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
+    counted = map_texts(rows, "text", make, f"doc_id {kind}, n_bytes bigint, n_tokens bigint", LARGE_SLICE_BYTES)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
