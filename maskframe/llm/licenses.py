@@ -1,7 +1,8 @@
 """License scans by ordered signature rules.
 
 Rules are regexes over the lower-cased text.  Each has a keyword that any match
-contains; an Aho-Corasick pass over the keywords picks the rules worth running.
+contains (one word, as blanks may be line ends); an Aho-Corasick pass over the
+keywords picks the rules worth running.
 A rule's priority is its kind: a declared identifier, a grant sentence, an
 address, a quoted clause, a bare name.  Of overlapping detections the one with
 the better priority stays, then the longer; a detection inside another one's
@@ -80,33 +81,33 @@ LICENSES = (
 
 #: Kinds of statements, best first: name, confidence, keyword, and the pattern around an identifier, name or address.
 STATEMENTS = (
-    ("identifier", 1.0, "spdx-license", r"spdx-license-identifier:?\s*(?:{identifier})(?![\w.-])"),
-    ("field", 0.95, "license", r"\"?licen[sc]e\"?\s*[:=]\s*\"?(?:{identifier})(?![\w.-])"),
+    ("identifier", 1.0, "spdx-license", r"spdx-license-identifier:?\s*(?:{identifier})(?![\w-]|\.\w)"),
+    ("field", 0.95, "licen", r"\"?licen[sc]e\"?\s*[:=]\s*\"?(?:{identifier})(?![\w-]|\.\w)"),
     ("grant", 0.9, "under", r"(?:licen[sc]ed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?"
                             r"(?:{name})(?![\w-])(?: licen[sc]e)?"),
-    ("covered", 0.85, "subject to", r"subject to (?:the )?(?:terms of )?(?:the )?(?:{name})(?![\w-])(?: licen[sc]e)?"),
+    ("covered", 0.85, "subject", r"subject to (?:the )?(?:terms of )?(?:the )?(?:{name})(?![\w-])(?: licen[sc]e)?"),
     ("address", 0.8, "{address_key}", r"(?:https?://)?(?:www\.)?(?:{address})[\w./-]*"),
-    ("version", 0.75, "version", r"(?<![\w-])(?:{name}) licen[sc]e,? (?:version |v)[0-9][0-9.]*"),
+    ("version", 0.75, "licen", r"(?<![\w-])(?:{name}) licen[sc]e,? (?:version |v)[0-9][0-9.]*"),
     ("title", 0.6, "licen", r"(?<![\w-])(?:{name}) licen[sc]e"),
     ("see", 0.5, "see", r"see (?:the )?(?:file )?(?:licen[sc]e|copying)(?:\.txt|\.md)? .{{0,40}}(?<![\w-])(?:{name})(?![\w-])"),
 )
 
 #: Clauses quoted from license texts: label, keyword, pattern.
 CLAUSES = (
-    ("mit", "permission is hereby", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("isc", "permission to use", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose"),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms, with or without modification"),
-    ("bsd-3-clause", "neither the name", r"neither the name of .{0,80} nor the names of its contributors"),
-    ("apache", "you may not use this file", r"you may not use this file except in compliance with the license"),
-    ("gpl", "free software: you can", r"this program is free software: you can redistribute it and/or modify it"),
-    ("gpl", "either version", r"either version [123] of the license, or \(at your option\) any later version"),
-    ("mpl", "source code form", r"this source code form is subject to the terms of the mozilla public license"),
+    ("mit", "hereby", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("isc", "permission", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms, with or without modification"),
+    ("bsd-3-clause", "neither", r"neither the name of .{0,80} nor the names of its contributors"),
+    ("apache", "compliance", r"you may not use this file except in compliance with the license"),
+    ("gpl", "software:", r"this program is free software: you can redistribute it and/or modify it"),
+    ("gpl", "either", r"either version [123] of the license, or \(at your option\) any later version"),
+    ("mpl", "mozilla", r"this source code form is subject to the terms of the mozilla public license"),
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("zlib", "provided 'as-is'", r"this software is provided 'as-is', without any express or implied warranty"),
-    ("boost", "permission is hereby", r"permission is hereby granted, free of charge, to any person or organization"),
-    ("public-domain", "public domain", r"(?:released|placed|dedicated) (?:in)?to the public domain"),
-    ("proprietary", "all rights reserved", r"all rights reserved"),
-    ("proprietary", "without permission", r"may not be (?:copied|reproduced|distributed) without (?:prior )?(?:written )?permission"),
+    ("zlib", "'as-is'", r"this software is provided 'as-is', without any express or implied warranty"),
+    ("boost", "hereby", r"permission is hereby granted, free of charge, to any person or organization"),
+    ("public-domain", "domain", r"(?:released|placed|dedicated) (?:in)?to the public domain"),
+    ("proprietary", "reserved", r"all rights reserved"),
+    ("proprietary", "permission", r"may not be (?:copied|reproduced|distributed) without (?:prior )?(?:written )?permission"),
 )
 
 
@@ -126,12 +127,17 @@ def rules() -> tuple[Rule, ...]:
     for priority, (_, confidence, keyword, shape) in enumerate(STATEMENTS):
         for label, identifier, name, _, address, address_key in LICENSES:
             filled = shape.format(identifier=identifier, name=name, address=address)
-            out.append(Rule(label, priority, confidence, keyword.format(address_key=address_key), re.compile(filled)))
+            out.append(Rule(label, priority, confidence, keyword.format(address_key=address_key), _compiled(filled)))
     for label, keyword, pattern in CLAUSES:
-        out.append(Rule(label, len(STATEMENTS), 0.7, keyword, re.compile(pattern)))
+        out.append(Rule(label, len(STATEMENTS), 0.7, keyword, _compiled(pattern)))
     return tuple(out)
 
 
+def _compiled(pattern: str) -> re.Pattern:
+    """A blank in a pattern stands for any run of white space, since texts are wrapped."""
+    return re.compile(re.sub(r"(?<!\[) ", lambda _: r"\s+", pattern), re.DOTALL)
+
+
 @lru_cache(maxsize=1)
 def _keywords():
     """An automaton over the keywords; each names the rules that need it."""

@@ -119,6 +119,25 @@ def test_overlapping_detections():
     assert 200 < len(licenses.rules()) < 400
 
 
+def test_prefilter_changes_nothing():
+    clauses = [
+        "licence: gpl-3.0", "license: mit.", "apache license, v2.0", "subject to\nthe terms of the mit license", "all rights\nreserved",
+        "redistribution and use in source and binary forms, with or without\n  modification, are permitted",
+        "permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee",
+        "this software is provided 'as-is', without any express or implied\nwarranty", "may not be copied without prior written permission",
+        "this program is free software: you can redistribute it and/or modify\nit under the terms of the gnu general\npublic license",
+        "either version 3 of the license, or\n(at your option) any later version", "neither the name of the\nholder nor the names of its\ncontributors",
+        "permission is hereby granted, free of charge, to any person\nobtaining a copy", "released into the public\ndomain",
+        "you may not use this file except in\ncompliance with the license", "this source code form is subject to the terms of the mozilla public\nlicense"]
+    labels = ["gpl", "mit", "apache", "mit", "proprietary", "bsd", "isc", "zlib", "proprietary", "gpl", "gpl", "bsd-3-clause", "mit", "public-domain",
+              "apache", "mpl"]
+    for text, label in zip(clauses, labels):
+        every = [(m.start(), m.end(), rule) for rule in licenses.rules() for m in rule.pattern.finditer(text)]
+        assert sorted(every, key=lambda d: (d[0], d[1], d[2].priority, d[2].label)) == licenses.detections(text)
+        assert label in {rule.label for _, _, rule in licenses.resolve(every)}, text
+    assert licenses.resolve(licenses.detections(clauses[2]))[0][2].confidence == 0.75
+
+
 def test_edited_texts(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     rows = sorted(docs.collect())
