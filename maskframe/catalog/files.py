@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from maskframe.catalog.registry import query, table
 from maskframe.operators.desensitize import mask_text
-from maskframe.operators.files import mask_files, only_changed
+from maskframe.operators.commands import rewrite_file_refs
+from maskframe.operators.files import MASKED, mask_files, only_changed, write_masked_files
 from maskframe.operators.tables import mask_sheets
 from maskframe.plans.rules import RULES_BY_ID
 from maskframe.session import scratch_folder
@@ -58,11 +59,11 @@ def write_masked_sheets(spark, sf_dir):
     return spark.read.text(out).select(F.col("path").alias("segment"), F.col("value").alias("line"))
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS path, CASE WHEN conv_id < 10 THEN 'u*@b.org' ELSE concat('u', repeat('*', CAST(least(length(CAST(conv_id AS VARCHAR)) - 1, 8) AS BIGINT)), right(CAST(conv_id AS VARCHAR), 1), '@b.org') END AS value FROM conversations")
+@query("SELECT CAST(conv_id AS VARCHAR) AS path, concat(replace(text, chr(10), ' '), ' ', CASE WHEN conv_id < 10 THEN 'u*@b.org' ELSE concat('u', repeat('*', CAST(least(length(CAST(conv_id AS VARCHAR)) - 1, 8) AS BIGINT)), right(CAST(conv_id AS VARCHAR), 1), '@b.org') END) AS value FROM conversations")
 def write_masked_text(spark, sf_dir):
     lines = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("path"), "turn",
-        mask_text(F.expr("concat('u', cast(conv_id as string), '@b.org')"), (RULES_BY_ID["T02"],)).alias("text"))
+        mask_text(F.expr("concat(translate(text, '\n', ' '), ' u', cast(conv_id as string), '@b.org')"), (RULES_BY_ID["T02"],)).alias("text"))
     out = scratch_folder(spark, "text")
     writers.write_masked_text(lines, out, "turn")
     return spark.read.text(out).select(F.col("path").cast("string").alias("path"), "value")
@@ -119,3 +120,32 @@ def read_files_by_extension(spark, sf_dir):
     files = readers.list_files(spark, folder, registry).select("path", "known")
     return files.join(rows, "path", "left").groupBy(_segment().alias("segment")).agg(
         F.sum("rows").alias("rows"), F.min("known").alias("known"))
+
+
+@query(f"""SELECT segment, CASE WHEN clean THEN 'unchanged' ELSE 'masked' END AS status, CASE WHEN clean THEN 0 ELSE 2 * n END::BIGINT AS hits, NOT clean AS rewritten,
+ CASE WHEN clean THEN NULL ELSE n + 1 END AS lines, CASE WHEN clean THEN NULL ELSE n END AS masked_phones FROM (
+ SELECT {_FILE_KEY} AS segment, c_mktsegment = 'BUILDING' AS clean, count(*) AS n FROM customer GROUP BY ALL)""")
+def mask_files_outputs(spark, sf_dir):
+    """A file job from reading to its manifest: copies of what changed, and commands pointed to them."""
+    customer = table(spark, sf_dir, "customer").withColumn("segment", F.expr(_FILE_KEY))
+    clean = F.col("c_mktsegment") == "BUILDING"
+    line = F.when(clean, F.concat_ws(",", F.lit("words"), F.col("c_custkey").cast("string"))).otherwise(
+        F.concat_ws(",", F.expr(_WHO), F.expr(_PHONE)))
+    body = customer.select("segment", (F.col("c_custkey") + 1).alias("at"), line.alias("value"))
+    heads = customer.select("segment", F.lit(0).cast("bigint").alias("at"), F.when(clean, F.lit("title,amount")).otherwise(F.lit("name,phone")).alias("value")).distinct()
+    folder = scratch_folder(spark, "csv")
+    lines = heads.unionByName(body).repartition("segment").sortWithinPartitions("segment", "at")
+    lines.select("segment", "value").write.partitionBy("segment").text(folder)
+    registry = readers.FormatRegistry([readers.FileFormat("txt", (".txt",), readers.read_csv_cells)])
+    manifest = write_masked_files(mask_files(spark, folder, registry), scratch_folder(spark, "masked"))
+    files = manifest.filter(_segment() != "")
+    commands = files.select(F.col("path").alias("source"), "status", "hits", F.concat(F.lit("cat '"), F.regexp_replace("path", "^file:", ""), F.lit("'")).alias("cmd"))
+    copies = files.filter(F.col("status") == MASKED).select(F.regexp_replace("path", "^file:", "").alias("path"), "masked_path")
+    done = rewrite_file_refs(commands, ["source"], "cmd", copies, {".txt"}).withColumnRenamed("source", "path")
+    copied = [r.masked_path for r in copies.select("masked_path").collect()]
+    text = spark.read.option("recursiveFileLookup", "true").text(copied).select(
+        F.concat(F.regexp_extract(F.col("_metadata.file_path"), "/file=([0-9a-f]+)/", 1)).alias("name"), "value")
+    held = text.groupBy("name").agg(F.count("*").alias("lines"), F.count_if(F.col("value").rlike(r",138\*{4}[0-9]{4}$")).alias("masked_phones"))
+    name = F.substring(F.sha2("path", 256), 1, 32)
+    return done.withColumn("name", name).join(held, "name", "left").select(
+        _segment().alias("segment"), "status", "hits", (F.col("replaced") == 1).alias("rewritten"), "lines", "masked_phones")

@@ -228,6 +228,26 @@ def desensitize_documents(spark, sf_dir):
     return scanned.select("doc_id", F.col("d.result").alias("result"), D.total_of(F.col("d.stats")).alias("hits"))
 
 
+_PIECES = {
+    "姓名": (f"concat('姓名：', {_NAME})", f"concat('姓名：', {_NAME})"),
+    "手机号": (f"concat('手机１３８', chr(10), {k(8)})", f"concat('１３８', chr(10), {k(8)})"),
+    "邮箱": (f"concat('邮箱：user', {_KEY}, '@corp.com')", f"concat('user', {_KEY}, '@corp.com')"),
+    "身份证号": (f"concat('身份证：11010119900101', {k(4)})", f"concat('11010119900101', {k(4)})"),
+}
+_SPREAD_OUT = "concat('  ', " + ", '  ,  ', ".join(text for text, _ in _PIECES.values()) + ")"
+_PLACED = " UNION ALL ".join(
+    f"SELECT o_orderkey, '{label}' AS type, {raw} AS raw, CAST(instr(t, {raw}) - 1 AS INT) AS start FROM t" for label, (_, raw) in _PIECES.items())
+
+
+@query(f"WITH t AS (SELECT o_orderkey, {_SPREAD_OUT} AS t FROM orders) SELECT DISTINCT * FROM ({_PLACED})")
+def detect_places(spark, sf_dir):
+    """Where findings lie in the raw text, also those that only the normalised scan makes."""
+    texts = spread(table(spark, sf_dir, "orders")).select("o_orderkey", F.expr(_SPREAD_OUT).alias("t"))
+    found = D.detect(texts, ["o_orderkey", "t"], "t")
+    raw = F.substring("t", F.col("start") + 1, F.col("end") - F.col("start"))
+    return found.select("o_orderkey", "type", raw.alias("raw"), "start").distinct()
+
+
 @query(name="detect")
 def detect_findings(spark, sf_dir):
     return D.detect(spread(table(spark, sf_dir, "documents")), ["doc_id"], "text")

@@ -10,7 +10,7 @@ from maskframe.functions.jsontext import string_values
 from maskframe.operators import tokens as T
 from maskframe.plans.rules import RULES_BY_ID
 from maskframe.session import scratch_folder
-from maskframe.streaming.streams import detokenize_stream, mask_stream, reassemble_events
+from maskframe.streaming.streams import detokenize_events, detokenize_stream, mask_stream, reassemble_events
 
 
 def _stream(spark, sf_dir, name):
@@ -26,10 +26,10 @@ def _run(stream, spark, name):
     return spark.read.parquet(f"{folder}/out")
 
 
-_MAIL = "concat('turn ', cast(turn as string), ' user', cast(conv_id as string), '@example.com')"
+_MAIL = "concat(text, ' turn ', cast(turn as string), ' user', cast(conv_id as string), '@example.com')"
 
 
-@query("""SELECT conv_id, turn, role, md5(concat('turn ', turn, ' u', repeat('*', CAST(least(length(CAST(conv_id AS VARCHAR)) + 2, 8) AS BIGINT)),
+@query("""SELECT conv_id, turn, role, md5(concat(text, ' turn ', turn, ' u', repeat('*', CAST(least(length(CAST(conv_id AS VARCHAR)) + 2, 8) AS BIGINT)),
  right(CAST(conv_id AS VARCHAR), 1), '@example.com')) AS text_md5 FROM conversations""", name="mask_stream")
 def masked_stream(spark, sf_dir):
     messages = _stream(spark, sf_dir, "conversations").withColumn("text", F.expr(_MAIL))
@@ -44,13 +44,13 @@ def _events(df):
         F.lit('}}], "n": 1}\ndata: {broken\ndata: [DONE]')))
 
 
-@query("""SELECT conv_id, turn, concat('hello user', conv_id, '@example.com') AS content,
- true AS rest_unchanged, CAST(1 AS BIGINT) AS restored FROM conversations""", name="detokenize_stream")
+@query("""SELECT conv_id, turn, concat(text, ' hello user', conv_id, '@example.com') AS content,
+ true AS rest_unchanged, CAST(1 AS INT) AS restored FROM conversations""", name="detokenize_stream")
 def restored_stream(spark, sf_dir):
     """Responses arrive as events; their tokens are looked up batch by batch."""
     keys = ["conv_id", "turn"]
     plain = table(spark, sf_dir, "conversations").select(
-        *keys, F.expr("concat('hello user', cast(conv_id as string), '@example.com')").alias("text"))
+        *keys, F.expr("concat(text, ' hello user', cast(conv_id as string), '@example.com')").alias("text"))
     tokenized = T.tokenize(plain, keys, ["text"])
     folder = scratch_folder(spark, "detokenize-stream")
     T.vault_rows(tokenized, KEY).write.parquet(f"{folder}/vault")
@@ -70,13 +70,25 @@ def restored_stream(spark, sf_dir):
          & (F.get(lines, F.lit(3)) == "data: [DONE]")).alias("rest_unchanged"), "restored")
 
 
+@query("""SELECT conv_id, concat('data: [', '"', 'mail user', turn, '@example.com"]', chr(10), 'id: ', turn) AS event, CAST(1 AS INT) AS restored
+FROM conversations""")
+def detokenize_event_repeats(spark, sf_dir):
+    """Events that share a key keep lines of their own."""
+    keys = ["conv_id", "turn"]
+    plain = table(spark, sf_dir, "conversations").select(*keys, F.expr("concat('mail user', cast(turn as string), '@example.com')").alias("text"))
+    tokenized = T.tokenize(plain, keys, ["text"])
+    event = F.concat(F.lit('data: ["'), "text", F.lit('"]\nid: '), F.col("turn").cast("string"))
+    events = tokenized.select("conv_id", event.alias("event"))
+    return detokenize_events(events, ["conv_id"], "event", T.vault_rows(tokenized, KEY), KEY)
+
+
 def _chunks(messages):
     """Each message is an event; its delimiter is cut in two and its text comes in two chunks."""
     first = messages.groupBy("conv_id").agg(F.min("turn").alias("first"))
     numbered = messages.join(first, "conv_id").withColumn("at", F.col("turn") - F.col("first"))
     pieces = F.array(
         F.concat(F.when(F.col("at") > 0, F.lit("\n")).otherwise(F.lit("")), F.lit("da")),
-        F.concat(F.lit("ta: "), F.col("turn").cast("string"), F.lit("\n")))
+        F.concat(F.lit("ta: "), F.translate("text", "\n", " "), F.lit(" "), F.col("turn").cast("string"), F.lit("\n")))
     chunks = numbered.select("conv_id", "at", F.posexplode(pieces).alias("half", "chunk")).select(
         F.col("conv_id").cast("string").alias("stream_id"), (F.col("at") * 2 + F.col("half")).cast("bigint").alias("seq"), "chunk")
     ends = numbered.groupBy("conv_id").agg(F.max("at").alias("at")).select(
@@ -84,8 +96,8 @@ def _chunks(messages):
     return chunks.unionByName(ends)
 
 
-@query("""SELECT CAST(conv_id AS VARCHAR) AS stream_id, rank - 1 AS event_no, concat('data: ', turn) AS event
-FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations)""", name="reassemble_events")
+@query("""SELECT CAST(conv_id AS VARCHAR) AS stream_id, rank - 1 AS event_no, concat('data: ', replace(text, chr(10), ' '), ' ', turn) AS event
+FROM (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations)""", name="reassemble_events")
 def reassembled(spark, sf_dir):
     """Every message is an event; its delimiter is cut in two and its text comes in two chunks."""
     folder = scratch_folder(spark, "reassemble")
@@ -95,11 +107,27 @@ def reassembled(spark, sf_dir):
     return out.filter("complete").select("stream_id", "event_no", "event")
 
 
-@query("""SELECT CAST(conv_id AS VARCHAR) AS stream_id, rank - 1 AS event_no, concat(CASE WHEN rank = 1 THEN 'ta: ' ELSE 'data: ' END, turn) AS event,
- false AS complete FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations)""")
+@query("""SELECT CAST(conv_id AS VARCHAR) AS stream_id, rank - 1 AS event_no, concat(CASE WHEN rank = 1 THEN 'ta: ' ELSE 'data: ' END, replace(text, chr(10), ' '), ' ', turn) AS event,
+ false AS complete FROM (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank FROM conversations)""")
 def reassemble_gap(spark, sf_dir):
     """Without the first chunk of a stream the rest comes out, split and marked as incomplete."""
     folder = scratch_folder(spark, "reassemble-gap")
     _chunks(table(spark, sf_dir, "conversations")).filter("seq > 0").write.parquet(f"{folder}/in")
     arriving = spark.readStream.schema("stream_id string, seq bigint, chunk string").parquet(f"{folder}/in")
     return _run(reassemble_events(arriving, timeout_ms=None, max_waiting=0), spark, "reassembled-gap")
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS stream_id, rank - 1 AS event_no, concat('data: ', replace(text, chr(10), ' '), ' ', turn, CASE WHEN rank = n THEN chr(10) ELSE '' END) AS event, rank < n AS complete
+FROM (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+UNION ALL SELECT CAST(conv_id AS VARCHAR), count(*), concat('late ', conv_id), false FROM conversations GROUP BY conv_id""")
+def reassemble_ends(spark, sf_dir):
+    """The last event of each stream has no blank line and comes out at its end; a chunk far ahead leaves a wide gap."""
+    folder = scratch_folder(spark, "reassemble-ends")
+    chunks = _chunks(table(spark, sf_dir, "conversations"))
+    last = chunks.groupBy("stream_id").agg(F.max("seq").alias("last"))
+    ending = chunks.join(last, "stream_id").withColumn("chunk", F.when(F.col("seq") == F.col("last"), F.lit("")).otherwise(F.col("chunk"))).select(
+        "stream_id", "seq", "chunk", (F.col("seq") == F.col("last")).alias("end"))
+    ahead = last.select("stream_id", (F.col("last") + 1_000_000_000).alias("seq"), F.concat(F.lit("late "), "stream_id").alias("chunk"), F.lit(False).alias("end"))
+    ending.unionByName(ahead).write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema("stream_id string, seq bigint, chunk string, end boolean").parquet(f"{folder}/in")
+    return _run(reassemble_events(arriving, timeout_ms=None, max_waiting=0, end="end"), spark, "reassembled-ends")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from maskframe.catalog.registry import query, table
 from maskframe.functions import masks as M
+from maskframe.operators import text_labels
 from maskframe.operators.entities import label_entities_table
 from maskframe.operators.nested import mask_json, mask_nested
 from maskframe.operators.tables import detect_orientation, mask_eav, mask_sheets, mask_table
@@ -156,14 +157,14 @@ def sheets(spark, sf_dir):
 _RULES = (RULES_BY_ID["T02"], RULES_BY_ID["T03"])
 
 
-@query("""SELECT conv_id, turn, role, concat('ask a', '*******', right(CAST(10000000 + turn AS VARCHAR), 1), '@b.org') AS content,
+@query("""SELECT conv_id, turn, role, concat(text, ' ask a', '*******', right(CAST(10000000 + turn AS VARCHAR), 1), '@b.org') AS content,
  concat('138****', lpad(CAST(turn AS VARCHAR), 4, '0')) AS phone, turn AS number, CAST(2 AS BIGINT) AS hits FROM conversations""",
        name="mask_nested")
 def nested(spark, sf_dir):
     """Strings masked inside a struct, an array and a map; numbers and keys stay."""
     df = table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", F.struct(
-            "role", F.array(F.expr("concat('ask a', cast(10000000 + turn as string), '@b.org')")).alias("content"),
+            "role", F.array(F.expr("concat(text, ' ask a', cast(10000000 + turn as string), '@b.org')")).alias("content"),
             F.create_map(F.lit("phone"), F.expr("concat('1380000', lpad(cast(turn as string), 4, '0'))")).alias("more"),
             F.col("turn").alias("number")).alias("body"))
     masked = mask_nested(df, ["body"], _RULES)
@@ -213,3 +214,20 @@ def mask_table_nested(spark, sf_dir):
         F.expr("struct(concat('mail u', cast(c_custkey as string), 'x@b.org') as m)").alias("body.part"))
     out = mask_table(df, stats_column=None)
     return out.select("c_custkey", F.get("phones", F.lit(0)).alias("phone"), F.col("`body.part`.m").alias("note"))
+
+
+_NAMED = "concat(text, ' 供应商：Acme', cast(conv_id % 40 as string), '，部门：Ops', cast(turn as string), '，甲方：Acme', cast(conv_id % 7 as string))"
+
+
+@query("""WITH m AS (SELECT conv_id, turn, text, conv_id * 100 + turn AS pos FROM conversations),
+ v AS (SELECT name, row_number() OVER (ORDER BY min(place)) AS n FROM (
+  SELECT conv_id % 40 AS name, pos * 2 AS place FROM m UNION ALL SELECT conv_id % 7, pos * 2 + 1 FROM m) GROUP BY name),
+ d AS (SELECT turn, row_number() OVER (ORDER BY min(pos)) AS n FROM m GROUP BY turn),
+ l AS (SELECT name, CASE WHEN n <= 26 THEN chr(CAST(64 + n AS INT)) ELSE CAST(n AS VARCHAR) END AS label FROM v)
+SELECT m.pos, concat(m.text, ' 供应商：供应商_', a.label, '，部门：部门_', chr(CAST(64 + d.n AS INT)), '，甲方：供应商_', b.label) AS text, CAST(3 AS BIGINT) AS hits
+FROM m JOIN l a ON a.name = m.conv_id % 40 JOIN l b ON b.name = m.conv_id % 7 JOIN d ON d.turn = m.turn""")
+def label_in_texts(spark, sf_dir):
+    """Parties named in running text get one label across the table, by first appearance."""
+    texts = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("pos"), F.expr(_NAMED).alias("text"))
+    out = text_labels.label_in_texts(texts, "text", "pos", rules=(RULES_BY_ID["T33"], RULES_BY_ID["T34"]))
+    return out.select("pos", "text", F.aggregate(F.map_values("mask_stats"), F.lit(0).cast("bigint"), lambda a, n: a + n).alias("hits"))

@@ -47,15 +47,30 @@ def replace_matches(text: Column, pattern: str, mask: Callable[[Column], Column]
     ).otherwise(text)
 
 
+def running_sums(values: Column) -> Column:
+    """Sums of an array up to each element.  An array grows by copying, so it grows in blocks,
+    each of which starts from the sum of all before."""
+
+    def block(items: Column, i: Column) -> Column:
+        before = F.aggregate(F.slice(items, F.lit(1), i * _SUM_BLOCK), F.lit(0), lambda sum_, x: sum_ + x)
+        return F.aggregate(
+            F.slice(items, i * _SUM_BLOCK + 1, F.lit(_SUM_BLOCK)), F.array(before),
+            lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
+
+    def blocks(items: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / _SUM_BLOCK), F.lit(0)).cast("int"))
+        return F.flatten(F.transform(numbers, lambda i: F.slice(block(items, i), F.lit(2), F.lit(_SUM_BLOCK))))
+
+    return let(values, blocks)
+
+
+_SUM_BLOCK = 256
+
+
 def match_starts(pieces: Column, matches: Column) -> Column:
     """Zero-based start offset of each match, from the lengths of the cut pieces."""
     piece_lengths = F.transform(F.slice(pieces, 1, F.size(matches)), F.length)
     match_lengths = F.transform(matches, F.length)
-    # Running sum of (piece before match i) + (match i); a start is that sum
-    # without the match itself.
-    ends = F.aggregate(
-        F.zip_with(piece_lengths, match_lengths, lambda before, own: before + own),
-        F.array().cast("array<int>"),
-        lambda acc, step: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + step)),
-    )
+    # A start is the sum of (piece before match i) + (match i) so far, without the match itself.
+    ends = running_sums(F.zip_with(piece_lengths, match_lengths, lambda before, own: before + own))
     return F.zip_with(ends, match_lengths, lambda end, own: end - own)

@@ -31,8 +31,12 @@ def is_blank(text: Column) -> Column:
 def trim_blanks(text: Column) -> Column:
     """Trim every Unicode blank, not only ASCII spaces."""
     blank_end = f"^[{WS}]\\z"
-    padded = F.left(text, F.lit(1)).rlike(blank_end) | F.right(text, F.lit(1)).rlike(blank_end)
-    return F.when(padded, F.regexp_replace(text, f"^[{WS}]+|[{WS}]+\\z", "")).otherwise(text)
+
+    def trimmed(bound: Column) -> Column:
+        padded = F.left(bound, F.lit(1)).rlike(blank_end) | F.right(bound, F.lit(1)).rlike(blank_end)
+        return F.when(padded, F.regexp_replace(bound, f"^[{WS}]+|[{WS}]+\\z", "")).otherwise(bound)
+
+    return let(text, trimmed)
 
 
 def is_ascii(text: Column) -> Column:
@@ -45,6 +49,20 @@ def strip_sep(text: Column) -> Column:
     return F.regexp_replace(text, rf"[{WS}\-/\\.]", "")
 
 
+def has_wide_characters(text: Column) -> Column:
+    """Whether normalisation would turn a character into an ASCII one."""
+    return ~is_ascii(text) & text.rlike(_WIDE_CLASS)
+
+
+def blank_runs(text: Column) -> Column:
+    """The pattern of the runs of blanks that `normalize_text` makes one space in this text."""
+    return F.when(is_ascii(text), F.lit(ASCII_RUN)).otherwise(F.lit(f"[{WS}]{{2,}}"))
+
+
+def starts_blank(text: Column) -> Column:
+    return text.rlike(f"\\A[{WS}]")
+
+
 def normalize_text(text: Column) -> Column:
     """Full-width to ASCII, line breaks to spaces, runs of blanks to one space, trimmed."""
 
@@ -109,11 +127,15 @@ def looks_like_csv(text: Column) -> Column:
     return F.when(worth_a_look, F.coalesce(sampled, F.lit(False))).otherwise(F.lit(False))
 
 
+def raw_csv_fields(line: Column) -> Column:
+    """The fields of one CSV line as they stand between its commas, quotes and all."""
+    return find_all(F.concat(F.lit(","), line), _CSV_FIELD, 1)
+
+
 def parse_csv_line(line: Column) -> Column:
     """The fields of one CSV line as ``array<string>``; quotes may open anywhere."""
-    raw_fields = find_all(F.concat(F.lit(","), line), _CSV_FIELD, 1)
     return F.transform(
-        raw_fields,
+        raw_csv_fields(line),
         lambda raw: F.when(
             F.contains(raw, F.lit('"')),
             F.replace(F.regexp_replace(raw, _CSV_QUOTED_RUN, "$1"), F.lit('""'), F.lit('"')),

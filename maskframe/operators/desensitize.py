@@ -18,20 +18,27 @@ from pyspark.sql import functions as F
 
 from maskframe.functions import masks as M
 from maskframe.functions.charset import NOT_AFTER_DIGIT, NOT_AFTER_WORD, NOT_BEFORE_DIGIT, NOT_BEFORE_WORD, WS, HAN
+from maskframe.functions.layers import LAYERS_TYPE, no_layers, normalised_layers, raw_ranges
 from maskframe.functions.splice import cut, find_all, let, match_starts, weave
-from maskframe.functions.text import looks_like_csv, normalize_text, trim_blanks
+from maskframe.functions.text import has_wide_characters, looks_like_csv, normalize_text, trim_blanks
 from maskframe.operators.csv_text import mask_csv_text
-from maskframe.plans.rules import TEXT_RULES, TextRule
+from maskframe.operators.joins import quoted
+from maskframe.plans.rules import TEXT_RULES, TextRule, traces
 from maskframe.plans.vocab import starting_with
 
 HIT_TYPE = "struct<type:string,value:string>"
 HITS_TYPE = f"array<{HIT_TYPE}>"
-_STATE_FIELDS = ("text", "hits", "vendors", "depts")
+# What it takes to find hits in the raw text again: the ranges of those in CSV fields, and of
+# every scan the layers of the text that it read and those that it added.
+_MARKS_TYPE = f"array<struct<older:{LAYERS_TYPE},layers:{LAYERS_TYPE}>>"
+_RANGES_TYPE = "array<struct<start:int,end:int>>"
 _ENTITY_PREFIX = {"vendors": M.VENDOR_PREFIX, "depts": M.DEPT_PREFIX}
 
 
-def _state(text, hits, vendors, depts) -> Column:
-    return F.struct(text.alias("text"), hits.alias("hits"), vendors.alias("vendors"), depts.alias("depts"))
+def _state(text, hits, vendors, depts, layers=None) -> Column:
+    """What the fold carries; ``layers`` only where places are asked for."""
+    fields = [text.alias("text"), hits.alias("hits"), vendors.alias("vendors"), depts.alias("depts")]
+    return F.struct(*fields, *([] if layers is None else [layers.alias("layers")]))
 
 
 def _no_hits() -> Column:
@@ -79,13 +86,26 @@ def _cut(rules, number: Column, match: Column) -> Column:
     return let(kept, value)
 
 
-def _replace(rules, number: Column, state: Column, matches: Column) -> Column:
+def cut_value(rule: TextRule, match: Column) -> Column:
+    """The part of a rule's match that its mask replaces."""
+    return _cut((rule,), F.lit(0), match)["value"]
+
+
+def _texts(values) -> Column:
+    """An array of constants, as one literal where the characters allow it."""
+    values = list(values)
+    if any("\x1e" in value for value in values):
+        return F.array(*map(F.lit, values))
+    return F.split(F.lit("\x1e".join(values)), "\x1e", -1)
+
+
+def _replace(rules, number: Column, state: Column, matches: Column, places: bool) -> Column:
     """The state after rule ``number`` has replaced its ``matches``."""
     valid = lambda m: _choose(
         number, [(n, test(m)) for test, n in _numbered(rules, lambda r: r.valid).items()], F.lit(True))
     entities = _numbered(rules, lambda r: r.entity)
-    labels = F.array(*(F.lit(rule.label) for rule in rules))
-    patterns = F.array(*(F.lit(rule.pattern) for rule in rules))
+    labels = _texts(rule.label for rule in rules)
+    patterns = _texts(rule.pattern for rule in rules)
 
     def with_cuts(cuts: Column) -> Column:
         values = F.transform(cuts, lambda cut: cut["value"])
@@ -110,20 +130,27 @@ def _replace(rules, number: Column, state: Column, matches: Column) -> Column:
             )
             return F.when(valid(cut["match"]), F.concat(cut["kept"], masked)).otherwise(cut["match"])
 
-        counted = F.filter(matches, valid)
         label = F.get(labels, number)
-        found = F.transform(counted, lambda m: F.struct(label.alias("type"), m.alias("value")))
-        return _state(
-            weave(state["text"], F.get(patterns, number), F.transform(cuts, replacement)),
-            F.concat(state["hits"], found),
-            seen["vendors"],
-            seen["depts"],
-        )
+        found = F.transform(F.filter(matches, valid), lambda m: F.struct(label.alias("type"), m.alias("value")))
+
+        def after(replacements: Column, layers: Column | None = None) -> Column:
+            new_text = weave(state["text"], F.get(patterns, number), replacements)
+            return _state(new_text, F.concat(state["hits"], found), seen["vendors"], seen["depts"], layers)
+
+        def placed(replacements: Column) -> Column:
+            rows = F.arrays_zip(matches.alias("value"), replacements.alias("new"),
+                                match_starts(cut(state["text"], F.get(patterns, number)), matches).alias("start"))
+            changes = F.transform(F.filter(rows, lambda r: valid(r["value"])), lambda r: F.struct(
+                r["start"].alias("start"), F.length(r["value"]).alias("old"), F.length(r["new"]).alias("new")))
+            return after(replacements, F.concat(state["layers"], F.array(changes)))
+
+        replacements = F.transform(cuts, replacement)
+        return let(replacements, placed) if places else after(replacements)
 
     return let(F.transform(matches, lambda m: _cut(rules, number, m)), with_cuts)
 
 
-def run_rules(state: Column, rules=TEXT_RULES) -> Column:
+def run_rules(state: Column, rules=TEXT_RULES, places: bool = False) -> Column:
     """Fold the rules over a state: an outer fold over the stages (neighbouring
     rules behind one gate) and an inner one over the rules of a stage."""
     rules = tuple(rules)
@@ -137,7 +164,7 @@ def run_rules(state: Column, rules=TEXT_RULES) -> Column:
         )
         return let(
             matches,
-            lambda found: F.when(F.size(found) > 0, _replace(rules, number, current, found)).otherwise(current),
+            lambda found: F.when(F.size(found) > 0, _replace(rules, number, current, found, places)).otherwise(current),
         )
 
     def stage_step(current: Column, stage: Column) -> Column:
@@ -148,10 +175,9 @@ def run_rules(state: Column, rules=TEXT_RULES) -> Column:
             stage["stage"], [(n, gate.test(current["text"])) for gate, n in tests.items()], F.lit(False))
         return F.when(opened, F.aggregate(stage["rules"], current, rule_step)).otherwise(current)
 
-    plan = F.array(*(
-        F.struct(F.lit(position).alias("stage"), F.array(*map(F.lit, members)).alias("rules"))
-        for position, (_, members) in enumerate(stages)
-    ))
+    plan = F.expr("array(" + ", ".join(
+        f"named_struct('stage', {position}, 'rules', array({', '.join(map(str, members))}))"
+        for position, (_, members) in enumerate(stages)) + ")")
     return F.aggregate(plan, state, stage_step)
 
 
@@ -160,41 +186,50 @@ def apply_rules(text: Column, rules=TEXT_RULES) -> Column:
     return run_rules(_state(text, _no_hits(), _no_names(), _no_names()), tuple(rules))
 
 
-def _passes(state: Column, texts: Column, rules) -> Column:
-    """Scan the candidate texts in turn; a later one wins only with more hits.
+def _passes(state: Column, texts: Column, rules, places: bool) -> Column:
+    """Scan the candidate texts (``struct<text[, layers]>``) in turn; a later one wins only with more hits.
 
     Hits of the winner are listed after those of the scans before it, and the
     entity names stay shared, so one party keeps one label across scans.
     """
-    result_type_fields = ("result", "hits", "last", "vendors", "depts")
+    fields = ("result", "hits", "last", "vendors", "depts", *(("marks",) if places else ()))
 
     def result(**values) -> Column:
-        return F.struct(*(values[name].alias(name) for name in result_type_fields))
+        return F.struct(*(values[name].alias(name) for name in fields))
 
     start = result(result=F.lit(None).cast("string"), hits=state["hits"], last=F.lit(-1),
-                   vendors=state["vendors"], depts=state["depts"])
+                   vendors=state["vendors"], depts=state["depts"], marks=F.array().cast(_MARKS_TYPE))
 
     def one_pass(best: Column, text: Column) -> Column:
-        scanned = run_rules(_state(text, _no_hits(), best["vendors"], best["depts"]), rules)
-        return let(
-            scanned,
-            lambda new: F.when(
-                F.size(new["hits"]) > best["last"],
-                result(result=new["text"], hits=F.concat(best["hits"], new["hits"]),
-                       last=F.size(new["hits"]), vendors=new["vendors"], depts=new["depts"]),
-            ).otherwise(best),
-        )
+        scanned = run_rules(_state(text["text"], _no_hits(), best["vendors"], best["depts"],
+                                   no_layers() if places else None), rules, places)
+
+        def won(new: Column) -> Column:
+            marks = None if not places else F.concat(
+                best["marks"], F.array(F.struct(text["layers"].alias("older"), new["layers"].alias("layers"))))
+            return result(result=new["text"], hits=F.concat(best["hits"], new["hits"]),
+                          last=F.size(new["hits"]), vendors=new["vendors"], depts=new["depts"], marks=marks)
+
+        return let(scanned, lambda new: F.when(F.size(new["hits"]) > best["last"], won(new)).otherwise(best))
 
     return F.aggregate(texts, start, one_pass)
 
 
-def _outcome(text: Column, best: Column) -> Column:
-    return F.struct(
+def _outcome(text: Column, best: Column, ranges: Column | None) -> Column:
+    fields = [
         F.when(text.isNotNull(), best["result"]).alias("result"),
         stats_of(best["hits"]).alias("stats"),
         F.greatest(best["last"], F.lit(0)).alias("distinct_hits"),
         best["hits"].alias("findings"),
-    )
+    ]
+    return F.struct(*fields, *([] if ranges is None else [ranges.alias("ranges"), best["marks"].alias("marks")]))
+
+
+def _untouched(text: Column, places: bool) -> Column:
+    fields = [text.alias("result"), F.create_map().cast("map<string,bigint>").alias("stats"), F.lit(0).alias("distinct_hits"),
+              _no_hits().alias("findings")]
+    marks = [F.array().cast(_RANGES_TYPE).alias("ranges"), F.array().cast(_MARKS_TYPE).alias("marks")] if places else []
+    return F.struct(*fields, *marks)
 
 
 def stats_of(hits: Column) -> Column:
@@ -213,29 +248,79 @@ def total_of(stats: Column) -> Column:
     return F.aggregate(F.map_values(stats), F.lit(0).cast("bigint"), lambda acc, n: acc + n)
 
 
-def desensitize(text: Column, rules=TEXT_RULES) -> Column:
+def may_match(text: Column, rules=TEXT_RULES) -> Column:
+    """Whether any of the rules could match a text, as it is or normalised: one pass over the text for all of them."""
+    # Full-width characters may turn into anything.
+    return has_wide_characters(text) | traces(tuple(rules))(text)
+
+
+def desensitize(text: Column, rules=TEXT_RULES, prefilter: bool = True) -> Column:
     """Mask a text; ``struct<result, stats, distinct_hits, findings>``.
 
     A CSV-looking text is masked by its column names first and scanned once.
     Any other text is scanned as it is and, where normalisation changes it, a
     second time normalised; the second scan wins only with more hits, and the
     hits of both are then reported (``distinct_hits`` counts the winner alone).
+
+    ``prefilter`` spares a text in which no rule can match all scans; it changes no result.
     """
-    return let(text, lambda bound: _desensitize(bound, tuple(rules)))
+    return let(text, lambda bound: _desensitize(bound, tuple(rules), prefilter))
+
 
+def scan_with_places(df: DataFrame, text: Column, into: str, rules=TEXT_RULES) -> DataFrame:
+    """``df`` with `desensitize` in the column ``into``, where every finding also has ``start`` and ``end``.
+
+    They count characters of the raw text from 0: what was found, and all of
+    what earlier masks replaced in it.  Places are worked out in a projection
+    of its own, from the layers that the scan leaves.
+    """
+    rules = tuple(rules)
+    # One projection for each step: an expression for all of them would nest too deeply to be analysed.
+    planned = df.withColumn("_text", text)
+    bound, is_csv = F.col("_text"), looks_like_csv(F.col("_text"))
+    planned = planned.withColumn("_plan", F.when(may_match(bound, rules) | is_csv, _plan(bound, is_csv, True)))
+    scanned = planned.withColumn(into, F.when(
+        F.col("_plan").isNotNull(), _scanned(bound, F.col("_plan"), rules, True)).otherwise(_untouched(bound, True)))
+    scan = F.col(into)
+    ranges = F.concat(scan["ranges"], F.flatten(F.transform(scan["marks"], lambda m: raw_ranges(m["older"], m["layers"]))))
+    placed = F.zip_with(scan["findings"], ranges, lambda hit, range_: F.struct(
+        hit["type"].alias("type"), hit["value"].alias("value"), range_["start"].alias("start"), range_["end"].alias("end")))
+    nothing = F.array().cast("array<struct<type:string,value:string,start:int,end:int>>")
+    return scanned.withColumn(into, F.struct(
+        *(scan[name].alias(name) for name in ("result", "stats", "distinct_hits")),
+        F.when(F.size(scan["findings"]) > 0, placed).otherwise(nothing).alias("findings"))).drop("_text", "_plan")
+
+
+def _plan(text: Column, is_csv: Column, places: bool) -> Column:
+    """What to scan, and what is known before: ``struct<texts, hits, vendors, depts[, ranges]>``."""
+    def candidate(value: Column, layers: Column) -> Column:
+        return F.struct(value.alias("text"), *([layers.alias("layers")] if places else []))
 
-def _desensitize(text: Column, rules) -> Column:
     def normalised_too(normal: Column) -> Column:
-        return F.when(normal == text, F.array(text)).otherwise(F.array(text, normal))
+        raw = candidate(text, no_layers())
+        return F.when(normal == text, F.array(raw)).otherwise(
+            F.array(raw, candidate(normal, normalised_layers(text) if places else no_layers())))
+
+    def plan(texts: Column, hits: Column, vendors: Column, depts: Column, ranges: Column) -> Column:
+        fields = [texts.alias("texts"), hits.alias("hits"), vendors.alias("vendors"), depts.alias("depts")]
+        return F.struct(*fields, *([ranges.alias("ranges")] if places else []))
+
+    nowhere = F.array().cast(_RANGES_TYPE)
+    as_csv = let(mask_csv_text(text, places), lambda csv: plan(
+        F.array(candidate(csv["text"], csv["layers"] if places else no_layers())), csv["hits"], csv["vendors"], csv["depts"],
+        csv["ranges"] if places else nowhere))
+    as_text = plan(let(normalize_text(text), normalised_too), _no_hits(), _no_names(), _no_names(), nowhere)
+    return F.when(is_csv, as_csv).otherwise(as_text)
+
+
+def _scanned(text: Column, plan: Column, rules, places: bool) -> Column:
+    return let(_passes(plan, plan["texts"], rules, places), lambda best: _outcome(text, best, plan["ranges"] if places else None))
 
-    def plan(texts: Column, hits: Column, vendors: Column, depts: Column) -> Column:
-        return F.struct(texts.alias("texts"), hits.alias("hits"), vendors.alias("vendors"), depts.alias("depts"))
 
-    as_csv = let(
-        mask_csv_text(text), lambda csv: plan(F.array(csv["text"]), csv["hits"], csv["vendors"], csv["depts"]))
-    as_text = plan(let(normalize_text(text), normalised_too), _no_hits(), _no_names(), _no_names())
-    chosen = F.when(looks_like_csv(text), as_csv).otherwise(as_text)
-    return let(chosen, lambda p: let(_passes(p, p["texts"], rules), lambda best: _outcome(text, best)))
+def _desensitize(text: Column, rules, prefilter: bool) -> Column:
+    is_csv = looks_like_csv(text)
+    scanned = let(_plan(text, is_csv, False), lambda plan: _scanned(text, plan, rules, False))
+    return F.when(may_match(text, rules) | is_csv, scanned).otherwise(_untouched(text, False)) if prefilter else scanned
 
 
 def mask_text(text: Column, rules=TEXT_RULES) -> Column:
@@ -260,17 +345,22 @@ def rule_hits(text: Column, rule: TextRule) -> Column:
 
 
 def detect(df: DataFrame, key_columns: list[str], text_column: str, rules=TEXT_RULES) -> DataFrame:
-    """Findings as a long table: keys, ``type``, ``value``, ``ordinal``.
+    """Findings as a long table: keys, ``ordinal``, ``type``, ``value``, ``start``, ``end``.
 
     The findings are those `desensitize` masks, in the order it met them.
+    ``start`` and ``end`` count characters of the raw text from 0.  The text
+    between them is the value, except where the value holds masks of earlier
+    rules or characters that were normalised first: there it is what these
+    were made from.
     """
-    found = df.select(*key_columns, desensitize(F.col(text_column), rules)["findings"].alias("findings"))
+    keys = [F.col(quoted(key)) for key in key_columns]
+    found = scan_with_places(df, F.col(quoted(text_column)), "_scan", rules)
     # The outer form: an inner one makes the optimizer test for empty arrays
     # below the scan, which would run it twice.
     return (
-        found.select(*key_columns, F.posexplode_outer("findings").alias("ordinal", "finding"))
+        found.select(*keys, F.posexplode_outer("_scan.findings").alias("ordinal", "_finding"))
         .filter(F.col("ordinal").isNotNull())
-        .select(*key_columns, "ordinal", "finding.type", "finding.value")
+        .select(*keys, "ordinal", *(f"_finding.{name}" for name in ("type", "value", "start", "end")))
     )
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from maskframe.operators.joins import quoted
+from maskframe.plans.rules import TEXT_RULES
+
 
 def pii_report(df: DataFrame, stats_column: str, by: list[str] | None = None, totals: bool = False) -> DataFrame:
     """Findings per type (and per source columns); partial sums before the shuffle.
@@ -25,14 +28,34 @@ def summary_text(stats: Column) -> Column:
         F.transform(F.map_entries(stats), lambda e: F.concat(e["key"], F.lit("×"), e["value"].cast("string"))), ", ")
 
 
-def request_counters(df: DataFrame) -> DataFrame:
-    """One row of totals over guarded or tokenized records, by the columns that exist."""
+def _counters(df: DataFrame) -> list[Column]:
     has = set(df.columns)
-    counters = [F.count("*").alias("total_requests")]
+    counters = [F.count(F.lit(1)).alias("total_requests")]
     if "allowed" in has:
         counters.append(F.count_if(~F.col("allowed")).alias("blocked_requests"))
     if "token_count" in has:
         counters.append(F.count_if(F.col("token_count") > 0).alias("encrypted_requests"))
     if "restored" in has:
         counters.append(F.count_if(F.col("restored") > 0).alias("decrypted_responses"))
-    return df.agg(*counters)
+    return counters
+
+
+def request_counters(df: DataFrame) -> DataFrame:
+    """One row of totals over guarded or tokenized records, by the columns that exist."""
+    return df.agg(*_counters(df))
+
+
+def observe_counters(df: DataFrame, observation: Observation | str, stats_column: str | None = None, rules=TEXT_RULES) -> DataFrame:
+    """``df`` unchanged, counted while whatever is done with it runs: one scan gives output and counters.
+
+    An `Observation` serves a batch: its ``get`` holds the totals of
+    `request_counters`, and with ``stats_column`` the hits of every label of
+    ``rules``, once the output is written.  With a name instead, a stream reports
+    the same for every micro-batch, in ``observedMetrics`` of its progress.
+    """
+    metrics = _counters(df)
+    if stats_column:
+        for label in dict.fromkeys(rule.label for rule in rules):
+            hits = F.try_element_at(F.col(quoted(stats_column)), F.lit(label))
+            metrics.append(F.coalesce(F.sum(hits), F.lit(0).cast("bigint")).alias(label))
+    return df.observe(observation, *metrics)

@@ -15,6 +15,7 @@ from maskframe.operators.joins import null_safe_join, quoted, salted_join
 from maskframe.operators.leaves import has_strings, map_leaves
 from maskframe.plans.columns import ColumnRule, classify_column, classify_name, mask_by_rule
 from maskframe.plans.rules import TEXT_RULES
+from maskframe.session import materialise
 
 # Labels of a cell that changed, in a wide and in a long table.
 HORIZONTAL_LABEL = "文件列脱敏"
@@ -179,29 +180,29 @@ def mask_eav(df: DataFrame, field: str, value: str, order: str | None = None, sc
     dictionary and no join.  With ``order`` party and department values get
     sequence labels, otherwise hash labels.
     """
-    rule = classify_name(trim_blanks(F.col(field)))
+    rule = classify_name(trim_blanks(F.col(quoted(field))))
     if order is None:
-        cell = _cell_result(F.col(value), F.col("_rule"), VERTICAL_LABEL, _hashed_entities(), rules)
+        cell = _cell_result(F.col(quoted(value)), F.col("_rule"), VERTICAL_LABEL, _hashed_entities(), rules)
         return _with_cell(df.withColumn("_rule", rule), cell, df.columns, value, stats_column)
     keep = {"vendors": lambda v: v, "depts": lambda v: v}
-    cell = _cell_result(F.col(value), F.col("_rule"), VERTICAL_LABEL, keep, rules)
+    cell = _cell_result(F.col(quoted(value)), F.col("_rule"), VERTICAL_LABEL, keep, rules)
     work = _with_cell(df.withColumn("_rule", rule), cell, [*df.columns, "_rule"], value, stats_column)
     for name, prefix in (("vendor", M.VENDOR_PREFIX), ("department", M.DEPT_PREFIX)):
-        mine = (F.col("_rule") == name) & ~is_blank(F.col(value))
+        mine = (F.col("_rule") == name) & ~is_blank(F.col(quoted(value)))
         labelled = label_entities_table(
-            work.withColumn("_entity", F.when(mine, F.col(value))), ["_entity"], prefix, order, scope, salts=salts)
+            work.withColumn("_entity", F.when(mine, F.col(quoted(value)))), ["_entity"], prefix, order, scope, salts=salts)
         work = labelled.select(
-            *(c for c in work.columns if c not in (value, stats_column)),
-            F.coalesce("_entity", value).alias(value),
+            *(quoted(c) for c in work.columns if c not in (value, stats_column)),
+            F.coalesce("_entity", quoted(value)).alias(value),
             F.when(F.col("_entity").isNotNull(), F.create_map(F.lit(VERTICAL_LABEL), F.lit(1).cast("bigint")))
             .otherwise(F.col(stats_column)).alias(stats_column),
         )
-    return work.select(*df.columns, stats_column)
+    return work.select(*map(quoted, df.columns), quoted(stats_column))
 
 
 def _with_cell(df: DataFrame, cell: Column, columns: list[str], value: str, stats_column: str) -> DataFrame:
     return df.withColumn("_cell", cell).select(
-        *(F.col("_cell.value").alias(c) if c == value else F.col(c) for c in columns),
+        *(F.col("_cell.value").alias(c) if c == value else F.col(quoted(c)) for c in columns),
         F.col("_cell.stats").alias(stats_column),
     )
 
@@ -209,6 +210,7 @@ def _with_cell(df: DataFrame, cell: Column, columns: list[str], value: str, stat
 # --------------------------------------------------------------------- sheets
 
 SHEET_KEYS = ["path", "sheet"]
+_PARTY_RULES = ("vendor", "department")
 
 
 def describe_sheets(cells: DataFrame) -> DataFrame:
@@ -224,6 +226,7 @@ def describe_sheets(cells: DataFrame) -> DataFrame:
         F.count("*").alias("rows"),
         F.count_if(named).alias("named_rows"),
         F.count_if(named & classify_name(first).isNotNull()).alias("known_rows"),
+        F.count_if(classify_name(first).isin(*_PARTY_RULES)).alias("party_rows"),
     )
     vertical = (
         (F.col("rows") >= 3) & (F.col("named_rows") >= 3)
@@ -231,7 +234,7 @@ def describe_sheets(cells: DataFrame) -> DataFrame:
     )
     header_rules = F.transform("header", lambda h: classify_name(trim_blanks(F.coalesce(h, F.lit("")))))
     return summary.select(
-        *SHEET_KEYS, "header_idx", "rows", "named_rows", "known_rows",
+        *SHEET_KEYS, "header_idx", "rows", "named_rows", "known_rows", "party_rows",
         header_rules.alias("header_rules"), vertical.alias("vertical"),
     )
 
@@ -251,7 +254,12 @@ def mask_sheets(cells: DataFrame, rules=TEXT_RULES, bucket_rows: int = DEFAULT_B
     """
     keys = [*SHEET_KEYS, "row_idx"]
     sheet_idx = F.col("sheet_idx") if "sheet_idx" in cells.columns else F.lit(0)
-    about = describe_sheets(cells).select(*SHEET_KEYS, "header_idx", "header_rules", "vertical")
+    # Kept once, a row per sheet: rule names and counts, no cells.
+    about = materialise(describe_sheets(cells))
+    has_party = F.when(F.col("vertical"), F.col("party_rows") > 0).otherwise(
+        F.exists("header_rules", lambda r: F.coalesce(r.isin(*_PARTY_RULES), F.lit(False))))
+    with_parties = not about.filter(has_party).isEmpty()
+    about = about.select(*SHEET_KEYS, "header_idx", "header_rules", "vertical")
     rows = salted_join(cells, about, SHEET_KEYS, ["row_idx"], "left", salts)
 
     row_rule = classify_name(trim_blanks(F.coalesce(F.get("cells", F.lit(0)), F.lit(""))))
@@ -264,24 +272,32 @@ def mask_sheets(cells: DataFrame, rules=TEXT_RULES, bucket_rows: int = DEFAULT_B
     )
     rows = rows.withColumn("_cells", judged).withColumn("_order", sheet_idx.cast("bigint") * F.lit(1 << 40) + F.col("row_idx"))
 
-    # Labels: number the distinct party values per file, then bring the few
-    # labels a row needs back to it as a small map.
-    entity_cells = F.filter(
-        "_cells",
-        lambda c: ~c["keep"] & c["rule"].isin("vendor", "department") & c["value"].isNotNull() & ~is_blank(c["value"]),
-    )
-    named = rows.select(*keys, "_order", F.explode(entity_cells).alias("_c")).select(
-        *keys, "_order", F.col("_c.rule").alias("_rule"), F.col("_c.value").alias("_value"), F.col("_c.col").alias("_col"))
-    numbered = number_entities(named, "_value", "_order", "_col", ["path", "_rule"], bucket_rows)
-    located = salted_join(named.select(*keys, "_rule", "_value").distinct(), numbered,
-                          ["path", "_rule", "_value"], ["row_idx"], "inner", salts)
-    row_labels = located.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct(
-            F.concat_ws(":", "_rule", "_value"), F.col("position")))).alias("_labels"))
-    rows = null_safe_join(rows, row_labels, keys, "left")
+    def party_key(rule: Column, value: Column) -> Column:
+        """A party as numbering sees it: names themselves are neither shuffled nor kept."""
+        return F.concat_ws(":", rule, F.sha2(value, 256))
+
+    if with_parties:
+        # Labels: number the distinct party values per file, then bring the few
+        # labels a row needs back to it as a small map.
+        entity_cells = F.filter(
+            "_cells",
+            lambda c: ~c["keep"] & c["rule"].isin(*_PARTY_RULES) & c["value"].isNotNull() & ~is_blank(c["value"]),
+        )
+        named = rows.select(*keys, "_order", F.explode(entity_cells).alias("_c")).select(
+            *keys, "_order", F.col("_c.rule").alias("_rule"), party_key(F.col("_c.rule"), F.col("_c.value")).alias("_value"),
+            F.col("_c.col").alias("_col"))
+        named = materialise(named)
+        numbered = number_entities(named, "_value", "_order", "_col", ["path", "_rule"], bucket_rows)
+        located = salted_join(named.select(*keys, "_rule", "_value").distinct(), numbered,
+                              ["path", "_rule", "_value"], ["row_idx"], "inner", salts)
+        row_labels = located.groupBy(*keys).agg(
+            F.map_from_entries(F.collect_list(F.struct("_value", F.col("position")))).alias("_labels"))
+        rows = null_safe_join(rows, row_labels, keys, "left")
+    else:
+        rows = rows.withColumn("_labels", F.create_map().cast("map<string,bigint>"))
 
     label = lambda rule, prefix: (
-        lambda v: M.sequence_label(prefix, F.try_element_at("_labels", F.concat_ws(":", F.lit(rule), v))))
+        lambda v: M.sequence_label(prefix, F.try_element_at("_labels", party_key(F.lit(rule), v)).cast("int")))
     entities = {"vendors": label("vendor", M.VENDOR_PREFIX), "depts": label("department", M.DEPT_PREFIX)}
     table_label = F.when(F.col("vertical"), VERTICAL_LABEL).otherwise(HORIZONTAL_LABEL)
 

@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskframe.functions.crypto import decrypt_value, encrypt_value
+from maskframe.functions.events import event_values, map_event_values
 from maskframe.functions.jsontext import map_string_values, scan_string_values, string_values
 from maskframe.functions.splice import cut, find_all, join_pieces, let, match_starts, weave
-from maskframe.operators.joins import salted_join
+from maskframe.operators.joins import quoted, salted_join
 from maskframe.operators.leaves import collect_leaves, map_leaves
 from maskframe.operators.nested import scan_leaves
+from maskframe.session import materialise
 
 _WORD = "[0-9A-Za-z_]"
 _EDGE = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
+# An e-mail can only start where its run of characters does, behind signs in front of it, or where the
+# match before ended: a start inside the run would read the run again.
+_RUN = r"[A-Za-z0-9._%+\-]"
+_RUN_START = rf"(?:\G|(?<!{_RUN})|(?<=(?<!{_RUN})[.%+\-]{{1,64}})|(?<=[.%+\-]{{65}}))"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 
 # What is tokenized, most specific type first, and its token tag.
@@ -28,6 +34,8 @@ PII_TYPES: dict[str, tuple[str, str]] = {
     "bankCard": ("BANK_CARD", "[0-9]{16,19}"),
 }
 DEFAULT_PREFIX, DEFAULT_SUFFIX = "<ENC>", "</ENC>"
+#: The column of a vault table that says where a token lies (`maskframe.operators.vault`).
+TOKEN_PART = "token_part"
 SPAN_TYPE = "struct<type:string,value:string,start:int>"
 TOKEN_TYPE = "struct<token:string,original:string,position:int,type:string>"
 
@@ -41,11 +49,11 @@ def _pattern(types) -> str:
     unknown = set(types) - set(PII_TYPES)
     if unknown:
         raise ValueError(f"unknown types {sorted(unknown)}")
-    chosen = [PII_TYPES[name][1] for name in PII_TYPES if name in types]
+    chosen = [(_RUN_START if name == "email" else "") + PII_TYPES[name][1] for name in PII_TYPES if name in types]
     pattern = rf"(?<!{_WORD})(?={_WORD})(?:{'|'.join(body + _EDGE for body in chosen)})"
     if "email" in types:
-        # Only an e-mail can start with a sign, and then right behind a word.
-        pattern += rf"|(?<={_WORD})(?=[.%+\-]){PII_TYPES['email'][1]}{_EDGE}"
+        # Only an e-mail can start with a sign, and then right behind another one, whose host name has 253 characters at most.
+        pattern += rf"|\G(?<={_WORD})(?=[.%+\-])(?<=@[A-Za-z0-9.\-]{{1,253}}){PII_TYPES['email'][1]}{_EDGE}"
     return pattern
 
 
@@ -79,7 +87,7 @@ def candidate_spans(text: Column, types=tuple(PII_TYPES)) -> Column:
 
     def of_type(name: str) -> Column:
         tag, body = PII_TYPES[name]
-        pattern = f"{_EDGE}{body}{_EDGE}"
+        pattern = f"{_EDGE}{_RUN_START if name == 'email' else ''}{body}{_EDGE}"
         return let(find_all(text, pattern), lambda matches: F.zip_with(
             matches, match_starts(cut(text, pattern), matches),
             lambda m, start: F.struct(F.lit(tag).alias("type"), m.alias("value"), start.alias("start"))))
@@ -143,8 +151,8 @@ def tokenize_text(text: Column, identity: Column, types=tuple(PII_TYPES),
     return F.when(_worth_scanning(text), let(find_all(text, pattern), with_matches)).otherwise(untouched)
 
 
-def _identity(keys: list[str]) -> Column:
-    return F.concat_ws("\x1f", *(F.col(k).cast("string") for k in keys))
+def record_identity(keys: list[str]) -> Column:
+    return F.concat_ws("\x1f", *(F.col(quoted(k)).cast("string") for k in keys))
 
 
 def tokenize(df: DataFrame, keys: list[str], columns: list[str], types=tuple(PII_TYPES),
@@ -155,7 +163,7 @@ def tokenize(df: DataFrame, keys: list[str], columns: list[str], types=tuple(PII
     path of the leaf.  Columns may be strings, structs, arrays or maps, or JSON
     texts when listed in ``json_columns``.  One pass per leaf, no shuffle.
     """
-    record = _identity(keys)
+    record = record_identity(keys)
 
     def run(leaf: Column, path: Column) -> Column:
         return tokenize_text(leaf, F.concat_ws("\x1f", record, path), types, prefix, suffix)
@@ -168,12 +176,12 @@ def tokenize(df: DataFrame, keys: list[str], columns: list[str], types=tuple(PII
     if walked:
         work = scan_leaves(work, walked, visit, "_leaves")
         tables.append(F.flatten(F.transform("_leaves", lambda leaf: leaf["extras"])))
-    for column in json_columns:
+    for i, column in enumerate(json_columns):
         at = lambda ordinal, c=column: F.concat(F.lit(c + "#"), ordinal.cast("string"))
-        scan = scan_string_values(F.col(column), lambda v, o: visit(v, at(o)), TOKEN_TYPE)
-        work = work.withColumn(f"_json_{column}", scan).withColumn(column, F.col(f"_json_{column}.text"))
-        tables.append(F.coalesce(F.col(f"_json_{column}.extras"), F.array().cast(f"array<{TOKEN_TYPE}>")))
-    return work.select(*df.columns, F.concat(*tables).alias("tokens")).withColumn("token_count", F.size("tokens"))
+        scan = scan_string_values(F.col(quoted(column)), lambda v, o: visit(v, at(o)), TOKEN_TYPE)
+        work = work.withColumn(f"_json_{i}", scan).withColumn(column, F.col(f"_json_{i}.text"))
+        tables.append(F.coalesce(F.col(f"_json_{i}.extras"), F.array().cast(f"array<{TOKEN_TYPE}>")))
+    return work.select(*map(quoted, df.columns), F.concat(*tables).alias("tokens")).withColumn("token_count", F.size("tokens"))
 
 
 def tokenize_nested(df: DataFrame, keys: list[str], columns: list[str], **options) -> DataFrame:
@@ -204,61 +212,94 @@ def token_pattern(prefix: str = DEFAULT_PREFIX, suffix: str = DEFAULT_SUFFIX) ->
     return rf"{quote(prefix)}[A-Z_]+_[0-9]+_[0-9]+{quote(suffix)}"
 
 
+def token_part(token: Column) -> Column:
+    """The part of a vault table that holds a token: the last two digits of its number, which any
+    reader of the token knows and which are spread evenly."""
+    return F.concat(F.lit("p"), F.regexp_extract(token, "([0-9]{2})_[0-9]+[^0-9]*\\z", 1))
+
+
+def tokens_in(df: DataFrame, columns: list[str], prefix: str = DEFAULT_PREFIX, suffix: str = DEFAULT_SUFFIX,
+              json_columns=(), event_columns=()) -> Column:
+    """All tokens in the string leaves of ``columns``, in JSON texts and in the data lines of events."""
+    pattern, nothing = token_pattern(prefix, suffix), F.array().cast("array<string>")
+
+    def find(value: Column, _path: Column | None = None) -> Column:
+        return F.when(F.contains(value, F.lit(prefix)), find_all(value, pattern))
+
+    def inside(values: Column) -> Column:
+        return F.flatten(F.transform(values, lambda v: F.coalesce(find(v), nothing)))
+
+    def of(name: str) -> Column:
+        column = F.col(quoted(name))
+        if name in json_columns:
+            return inside(string_values(column))
+        if name in event_columns:
+            return inside(event_values(column))
+        return collect_leaves(column, df.schema[name].dataType, find, "string", F.lit(""))
+
+    return F.concat(*(F.coalesce(of(c), nothing) for c in columns))
+
+
 def detokenize(df: DataFrame, keys: list[str], columns: list[str], vault: DataFrame, key: bytes,
-               prefix: str = DEFAULT_PREFIX, suffix: str = DEFAULT_SUFFIX, json_columns=(),
+               prefix: str = DEFAULT_PREFIX, suffix: str = DEFAULT_SUFFIX, json_columns=(), event_columns=(),
                salts: int = 1) -> DataFrame:
     """Put the values back; unknown or undecryptable tokens stay.  Adds ``restored``.
 
     Only (record, token) pairs travel to the vault, never the texts.  The
     distinct tokens are looked up first, so a token that occurs in a third of
     all records meets the vault once; the way back to the records is salted.
+    A vault table (`maskframe.operators.vault`) is read only in the parts that
+    the wanted tokens name.  Keys may repeat and may be NULL.
     """
     pattern = token_pattern(prefix, suffix)
-
-    find = lambda v, _: F.when(F.contains(v, F.lit(prefix)), find_all(v, pattern))
-
-    def tokens_of(column: str) -> Column:
-        if column in json_columns:
-            return F.flatten(F.transform(string_values(F.col(column)), lambda v: F.coalesce(find(v, None), nothing)))
-        return collect_leaves(F.col(column), df.schema[column].dataType, find, "string", F.lit(""))
-
-    nothing = F.array().cast("array<string>")
     may_have = F.lit(False)
     for c in columns:
-        as_text = F.col(c) if isinstance(df.schema[c].dataType, T.StringType) else F.to_json(F.struct(c))
+        column = F.col(quoted(c))
+        as_text = column if isinstance(df.schema[c].dataType, T.StringType) else F.to_json(F.struct(column))
         # The letters of a token survive any escaping of the brackets around it.
         may_have = may_have | F.coalesce(as_text.rlike("[A-Z]_[0-9]+_[0-9]"), F.lit(False))
     # Records without a token never leave their partition.
     touched, rest = df.filter(may_have), df.filter(~may_have)
 
-    used = F.array_distinct(F.concat(*(F.coalesce(tokens_of(c), nothing) for c in columns)))
-    pairs = touched.select(*keys, F.explode(used).alias("token_id"))
-    wanted = pairs.select("token_id").distinct()
+    record = [f"_key_{i}" for i in range(len(keys))]
+    held = tokens_in(df, columns, prefix, suffix, json_columns, event_columns)
+    pairs = touched.select(
+        *(F.col(quoted(k)).alias(name) for k, name in zip(keys, record)), F.explode(F.array_distinct(held)).alias("_token"))
+    vault_rows_ = vault.withColumnRenamed("token_id", "_token")
+    if TOKEN_PART in vault.columns:
+        pairs = materialise(pairs)
+        parts = [r.part for r in pairs.select(token_part(F.col("_token")).alias("part")).distinct().collect()]  # at most 101
+        vault_rows_ = vault_rows_.filter(F.col(TOKEN_PART).isin(parts))
     known = (
-        wanted.join(vault.select("token_id", "ciphertext"), "token_id").dropDuplicates(["token_id"])
-        .select("token_id", decrypt_value(F.col("ciphertext"), key).alias("_plain"))
+        pairs.select("_token").distinct().join(vault_rows_.select("_token", "ciphertext"), "_token").dropDuplicates(["_token"])
+        .select("_token", decrypt_value(F.col("ciphertext"), key).alias("_plain"))
         .filter(F.col("_plain").isNotNull())
     )
-    per_record = salted_join(pairs, known, ["token_id"], keys, "inner", salts).groupBy(*keys).agg(
-        F.map_from_entries(F.collect_set(F.struct("token_id", "_plain"))).alias("_values"))
-    joined = touched.join(per_record, keys, "left")
-
-    def restored(value: Column) -> Column:
+    per_record = salted_join(pairs, known, ["_token"], record, "inner", salts).groupBy(*record).agg(
+        F.map_from_entries(F.collect_set(F.struct("_token", "_plain"))).alias("_values"))
+    same = F.lit(True)
+    for k, name in zip(keys, record):
+        same = same & F.col(quoted(k)).eqNullSafe(F.col(name))
+    joined = touched.join(per_record, same, "left")
+
+    def restored(value: Column, _path: Column | None = None) -> Column:
         back = lambda tokens: weave(
             value, pattern, F.transform(tokens, lambda t: F.coalesce(F.try_element_at("_values", t), t)))
-        return F.when(F.col("_values").isNotNull() & F.contains(value, F.lit(prefix)),
-                      let(find_all(value, pattern), back)).otherwise(value)
-
-    def new(column: str) -> Column:
-        if column in json_columns:
-            return F.when(F.col("_values").isNotNull(),
-                          map_string_values(F.col(column), lambda v, _: restored(v))).otherwise(F.col(column))
-        return map_leaves(F.col(column), df.schema[column].dataType, lambda v, _: restored(v), F.lit(""))
+        return F.when(F.contains(value, F.lit(prefix)), let(find_all(value, pattern), back)).otherwise(value)
+
+    def new(name: str) -> Column:
+        column = F.col(quoted(name))
+        if name in json_columns:
+            changed = map_string_values(column, restored)
+        elif name in event_columns:
+            changed = map_event_values(column, restored)
+        else:
+            changed = map_leaves(column, df.schema[name].dataType, restored, F.lit(""))
+        return F.when(F.col("_values").isNotNull(), changed).otherwise(column)
 
-    held = F.concat(*(F.coalesce(tokens_of(c), nothing) for c in columns))
     restored_count = F.size(F.filter(held, lambda token: F.map_contains_key("_values", token)))
     done = joined.select(
-        *(new(c).alias(c) if c in columns else F.col(c) for c in df.columns),
+        *((new(c) if c in columns else F.col(quoted(c))).alias(c) for c in df.columns),
         F.when(F.col("_values").isNotNull(), restored_count).otherwise(0).alias("restored"),
     )
     return done.unionByName(rest.withColumn("restored", F.lit(0)))
@@ -270,14 +311,10 @@ def detokenize_nested(df: DataFrame, keys: list[str], columns: list[str], vault:
 
 
 def spend_tokens(vault: DataFrame, df: DataFrame, columns: list[str], prefix: str = DEFAULT_PREFIX,
-                 suffix: str = DEFAULT_SUFFIX) -> DataFrame:
+                 suffix: str = DEFAULT_SUFFIX, json_columns=(), event_columns=()) -> DataFrame:
     """The vault without the tokens that occur in ``df`` (single-use tokens)."""
-    pattern = token_pattern(prefix, suffix)
-    found = [
-        collect_leaves(F.col(c), df.schema[c].dataType, lambda v, _: find_all(v, pattern), "string", F.lit(""))
-        for c in columns
-    ]
-    spent = df.select(F.explode(F.array_distinct(F.concat(*found))).alias("token_id")).distinct()
+    found = tokens_in(df, columns, prefix, suffix, json_columns, event_columns)
+    spent = df.select(F.explode(F.array_distinct(found)).alias("token_id")).distinct()
     return vault.join(spent, "token_id", "left_anti")
 
 

@@ -16,6 +16,7 @@ from itertools import groupby
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskframe.functions.splice import let
 from maskframe.functions import masks as M
 from maskframe.functions.charset import WS
 
@@ -138,22 +139,30 @@ def classify_column(name: str, mode: str = "substring") -> ColumnRule | None:
 
 def classify_name(name: Column) -> Column:
     """Rule name for a field name held in a column; NULL when none fits."""
-    normal = normalize_name(name)
-    chain = None
-    # Neighbouring keys of one rule become one alternation.
-    for rule, keys in groupby(_ORDERED_KEYS, key=lambda pair: pair[1]):
-        pattern = "|".join(re.escape(key) for key, _ in keys)
-        chain = (F if chain is None else chain).when(normal.rlike(pattern), F.lit(rule))
-    return chain
+
+    def chosen(normal: Column) -> Column:
+        chain = None
+        # Neighbouring keys of one rule become one alternation.
+        for rule, keys in groupby(_ORDERED_KEYS, key=lambda pair: pair[1]):
+            pattern = "|".join(re.escape(key) for key, _ in keys)
+            chain = (F if chain is None else chain).when(normal.rlike(pattern), F.lit(rule))
+        return chain
+
+    # Named once: the expression would carry the normalised name once for each rule.
+    return let(normalize_name(name), chosen)
 
 
 def mask_by_rule(rule: Column, value: Column, entities: dict[str, Callable[[Column], Column]]) -> Column:
     """Mask ``value`` by a rule name held in a column."""
-    chain = None
-    for known in COLUMN_RULES:
-        masked = entities[known.entity](value) if known.entity else known.mask(value)
-        chain = (F if chain is None else chain).when(rule == known.name, masked)
-    return chain.otherwise(value)
+
+    def chosen(bound: Column) -> Column:
+        chain = None
+        for known in COLUMN_RULES:
+            masked = entities[known.entity](bound) if known.entity else known.mask(bound)
+            chain = (F if chain is None else chain).when(rule == known.name, masked)
+        return chain.otherwise(bound)
+
+    return let(value, chosen)
 
 
 def label_by_rule(rule: Column) -> Column:

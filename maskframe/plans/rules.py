@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from maskframe.functions.charset import (
     SEP,
     WS,
 )
+from maskframe.functions.splice import let
 from maskframe.functions.text import is_ascii, luhn_valid, strip_sep
 from maskframe.plans.vocab import (
     FORMAL_SUFFIXES,
@@ -43,10 +45,16 @@ Mask = Callable[[Column], Column]
 
 @dataclass(frozen=True)
 class Gate:
-    """A necessary condition on the text, shared by neighbouring rules."""
+    """A necessary condition on the text, shared by neighbouring rules.
+
+    ``trace`` is a pattern or a test that holds on every text on which a rule
+    behind the gate can match, now or after normalisation; without one the
+    rules' own traces count.
+    """
 
     name: str
     test: Mask
+    trace: str | Mask | None = None
 
 
 @dataclass(frozen=True)
@@ -70,6 +78,8 @@ class TextRule:
     entity: str | None = None
     # Words that announce the value where bare numbers are too ambiguous.
     keyword: str | None = None
+    # Holds on every text with a match, if the gate has no trace.
+    trace: str | Mask | None = None
 
 
 # --------------------------------------------------------------------- gates
@@ -84,30 +94,38 @@ def _has(*needles: str) -> Mask:
     return test
 
 
-ALWAYS = Gate("always", lambda text: F.lit(True))
-AT_SIGN = Gate("at sign", _has("@"))
-FOUR_DIGITS = Gate("four digits", lambda text: text.rlike("[0-9]{4}"))
-SIX_DIGITS = Gate("six digits", lambda text: text.rlike("[0-9]{6}"))
-CODE_18 = Gate("code of 18", lambda text: text.rlike("[0-9A-HJ-NP-RT-Y]{18}"))
-SIXTEEN_DIGITS = Gate("sixteen digits", lambda text: text.rlike(rf"(?:[0-9]{{4}}[{WS}\-]?){{3}}[0-9]{{4}}"))
-DOTTED_DIGITS = Gate("dotted digits", lambda text: text.rlike(r"[0-9]\.[0-9]"))
-HEX_COLON = Gate("hex colon", lambda text: F.contains(text, F.lit(":")) & text.rlike("[0-9a-fA-F]:[0-9a-fA-F]"))
-KEY_VALUE = Gate("key=value", _has("=", "："))
-URL_QUERY = Gate("url query", lambda text: F.contains(text, F.lit("=")) & _has("?", "&")(text))
-HAN_TEXT = Gate("han", lambda text: ~is_ascii(text) & text.rlike(f"[{HAN}]"))
-COMPANY_NEWS = Gate("company news", _has("完成", "获得", "宣布", "披露", "发布", "公告"))
-ANCHOR_WORD = Gate("company anchor", _has("：", ":"))
-CHAT_WORD = Gate("chat word", lambda text: text.rlike(starting_with("wWqQ") + "(?i:wechat|wxid|qq)") | _has("微信")(text))
-LEGAL_FORM = Gate(
-    "english legal form",
-    lambda text: text.rlike(
-        rf"{starting_with('ICLPGSBNATHVEW')}(?<=[{WS}])(?:Inc|Corp|Ltd|LLC|L\.L\.C|Co\.|PLC|GmbH|S\.A|B\.V|N\.V|A\.G|Pty|Pte|Holding|Technolog"
-        r"|Solution|System|Service|Venture|Partner|Investment|Enterprise|Industr|International|Global|Worldwide)"
-    ),
+def _has_lower(*needles: str) -> Mask:
+    return lambda text: let(F.lower(text), _has(*needles))
+
+
+_FOUR = "[0-9]{4}"
+_ANY_HAN = f"[{HAN}]"
+_CODE_18 = "[0-9A-HJ-NP-RT-Y]{18}"
+_CHAT = starting_with("wWqQ") + "(?i:wechat|wxid|qq)"
+_LEGAL_FORM = (
+    rf"{starting_with('ICLPGSBNATHVEW')}(?<=[{WS}])(?:Inc|Corp|Ltd|LLC|L\.L\.C|Co\.|PLC|GmbH|S\.A|B\.V|N\.V|A\.G|Pty|Pte|Holding|Technolog"
+    r"|Solution|System|Service|Venture|Partner|Investment|Enterprise|Industr|International|Global|Worldwide)"
 )
-CAPITAL_CODE = Gate("capital code", lambda text: text.rlike("[A-Z]-[0-9]{4}"))
-EIGHT_DIGITS = Gate("eight digits", lambda text: text.rlike("[0-9]{8}"))
-INVOICE_WORD = Gate("invoice word", lambda text: text.rlike(starting_with("iI") + "(?i:invoice)") | _has("发票")(text))
+
+ALWAYS = Gate("always", lambda text: F.lit(True))
+AT_SIGN = Gate("at sign", _has("@"), _has("@"))
+FOUR_DIGITS = Gate("four digits", lambda text: text.rlike(_FOUR), _FOUR)
+SIX_DIGITS = Gate("six digits", lambda text: text.rlike("[0-9]{6}"), _FOUR)
+CODE_18 = Gate("code of 18", lambda text: text.rlike(_CODE_18), _CODE_18)
+SIXTEEN_DIGITS = Gate("sixteen digits", lambda text: text.rlike(rf"(?:[0-9]{{4}}[{WS}\-]?){{3}}[0-9]{{4}}"), _FOUR)
+DOTTED_DIGITS = Gate("dotted digits", lambda text: text.rlike(r"[0-9]\.[0-9]"), r"[0-9]\.[0-9]")
+HEX_COLON = Gate("hex colon", lambda text: F.contains(text, F.lit(":")) & text.rlike("[0-9a-fA-F]:[0-9a-fA-F]"),
+                 lambda text: F.contains(text, F.lit(":")) & text.rlike("[0-9a-fA-F]:[0-9a-fA-F]{1,4}:"))
+KEY_VALUE = Gate("key=value", _has("=", "："), _has("=", "："))
+URL_QUERY = Gate("url query", lambda text: F.contains(text, F.lit("=")) & _has("?", "&")(text), _has("="))
+HAN_TEXT = Gate("han", lambda text: ~is_ascii(text) & text.rlike(_ANY_HAN), lambda text: HAN_TEXT.test(text))
+COMPANY_NEWS = Gate("company news", _has("完成", "获得", "宣布", "披露", "发布", "公告"), lambda text: HAN_TEXT.test(text))
+ANCHOR_WORD = Gate("company anchor", _has("：", ":"), lambda text: HAN_TEXT.test(text) | _has("LP:", "GP:")(text))
+CHAT_WORD = Gate("chat word", lambda text: text.rlike(_CHAT) | _has("微信")(text), lambda text: HAN_TEXT.test(text) | _has_lower("wechat", "wxid", "qq")(text))
+LEGAL_FORM = Gate("english legal form", lambda text: text.rlike(_LEGAL_FORM), _LEGAL_FORM)
+CAPITAL_CODE = Gate("capital code", lambda text: text.rlike("[A-Z]-[0-9]{4}"), _FOUR)
+EIGHT_DIGITS = Gate("eight digits", lambda text: text.rlike("[0-9]{8}"), _FOUR)
+INVOICE_WORD = Gate("invoice word", lambda text: text.rlike(starting_with("iI") + "(?i:invoice)") | _has("发票")(text), _FOUR)
 
 
 # --------------------------------------------------------------- mask helpers
@@ -220,6 +238,14 @@ _SECRET = (
     starting_with("tarsbpTARSBP") + r"(?i)(?:token|access_?token|refresh_?token|api_?key|api_?secret|secret_?key|sk-|sk_|bearer|password|passwd"
     rf"|pwd|auth_?token|session_?id)[=＝{WS}:]+[\"']?([a-zA-Z0-9_\-.]{{6,128}})[\"']?"
 )
+# Parts of the words that announce a secret; a search for them costs less than the pattern.
+_SECRET_PARTS = ("token", "key", "secret", "sk-", "sk_", "bearer", "passw", "pwd", "session")
+
+
+def _has_secret(text: Column) -> Column:
+    return _has_lower(*_SECRET_PARTS)(text) & text.rlike(_SECRET)
+
+
 _SECRET_PREFIX = rf"^[^(=＝{WS}:)]+[=＝{WS}:]+"
 # Only the start of a run, or where the match before ended, can start an e-mail: no start inside a run rescans it.
 _EMAIL = r"(?:\G|(?<![a-zA-Z0-9._%+\-]))[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
@@ -250,12 +276,15 @@ _COMPANY_NEWS = (
     rf"(?:[{HAN}A-Za-z0-9]+(?:元|美元|港元|欧元|英镑))?(?:融资|投资|上市|挂牌|并购|收购|战略合作))"
 )
 
+# Blanks inside a name may be line breaks until the text is normalised, so only its first word leaves a trace.
+_KNOWN_START = rf"(?=[A-Zv{HAN}])(?<![{HAN}A-Za-z]){one_of_many(sorted({name.split(' ')[0] for name in KNOWN_COMPANIES}))}"
+
 # Labels of the findings; fixed values.
 COMPANY = "企业/集团/基金名称"
 COMPANY_STRONG = "企业/集团/基金名称[强校验]"
 
 TEXT_RULES: tuple[TextRule, ...] = (
-    _labelled("T01", "Token/密码/密钥", _SECRET, M.mask_secret, ALWAYS, _SECRET_PREFIX),
+    replace(_labelled("T01", "Token/密码/密钥", _SECRET, M.mask_secret, ALWAYS, _SECRET_PREFIX), trace=_has_secret),
     TextRule("T02", "邮箱", _EMAIL, AT_SIGN, M.mask_email),
     # -- numbers ------------------------------------------------------------
     TextRule("T03", "手机号",
@@ -327,7 +356,7 @@ TEXT_RULES: tuple[TextRule, ...] = (
     # -- companies ----------------------------------------------------------
     TextRule("T36", COMPANY_STRONG,
              rf"(?=[A-Zv{HAN}])(?<![{HAN}A-Za-z]){one_of_many(KNOWN_COMPANIES)}{_KNOWN_FORM}(?![{HAN}A-Za-z])",
-             ALWAYS, M.mask_company),
+             ALWAYS, M.mask_company, trace=_KNOWN_START),
     TextRule("T37", COMPANY_STRONG,
              rf"[{HAN}]{{2,10}}{one_of_many(INDUSTRY_SUFFIXES)}(?:有限公司|股份公司|集团|公司)?",
              HAN_TEXT, M.mask_company),
@@ -364,6 +393,23 @@ TEXT_RULES: tuple[TextRule, ...] = (
 RULES_BY_ID = {rule.rule_id: rule for rule in TEXT_RULES}
 
 
+def traces(rules) -> Mask:
+    """A test that holds on every text on which any of the rules can match, as it is or normalised from narrow
+    characters.  All patterns are looked for in one pass; a rule without a trace makes it hold everywhere."""
+    found = list(dict.fromkeys(rule.gate.trace or rule.trace for rule in rules))
+    if not found or None in found:
+        return lambda text: F.lit(True)
+    pattern = "|".join(f"(?:{trace})" for trace in found if isinstance(trace, str))
+    tests = [trace for trace in found if not isinstance(trace, str)]
+
+    def test(text: Column) -> Column:
+        # The cheap searches first.
+        held = [own(text) for own in tests] + ([text.rlike(pattern)] if pattern else [])
+        return reduce(lambda a, b: a | b, held)
+
+    return test
+
+
 def require_keywords(rules: tuple[TextRule, ...]) -> tuple[TextRule, ...]:
     """Variants of the rules that fire on bare numbers: here they need their keyword first."""
 

@@ -63,14 +63,20 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
+def remove_folder(spark: SparkSession, folder: str) -> bool:
+    """Remove a folder through Spark's file systems; whether it was there."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(spark: SparkSession, folder: str) -> None:
-    """Remove a folder through Spark's file systems; a folder that is gone is no error."""
+    """Remove a scratch folder; one that is gone is no error."""
     context = spark.sparkContext
     if context._jsc is None or context._jsc.sc().isStopped():
         return
     with contextlib.suppress(Py4JError, OSError):  # at the end of a program the JVM may be gone already
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(spark, folder)
 
 
 def materialise(df: DataFrame) -> DataFrame:

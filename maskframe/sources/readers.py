@@ -7,13 +7,18 @@ registry: a reader of one's own gives the same columns, with ``error`` set and
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskframe.functions.text import is_blank, parse_csv_line
+from maskframe.operators.entities import running_totals
+from maskframe.session import materialise
 
 CELL_SCHEMA = "path string, sheet string, sheet_idx int, row_idx bigint, cells array<string>, error string"
 CELL_COLUMNS = ["path", "sheet", "sheet_idx", "row_idx", "cells", "error"]
@@ -28,29 +33,54 @@ def _glob(extensions) -> str:
     return "*.{" + ",".join(any_case(e) for e in extensions) + "}"
 
 
+#: Splits of files that every task may hold, at some 100 bytes each.
+SPLITS_MOST = 1_000_000
+
+
+def _plain_path(path: str):
+    return F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B")))
+
+
+def _number_in_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``_rank``: the place of a line among the lines of its split, which a task reads in order."""
+    split, seen = None, 0
+    for batch in batches:
+        paths, blocks = batch.column("path").dictionary_encode(), batch.column("_block").to_numpy()
+        codes = paths.indices.to_numpy()
+        new = np.ones(len(codes), bool)
+        new[1:] = (codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])
+        starts = np.flatnonzero(new)
+        ranks = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
+        if len(codes):
+            first = (paths.dictionary[int(codes[0])].as_py(), int(blocks[0]))
+            run = starts[1] if len(starts) > 1 else len(codes)
+            if first == split:
+                ranks[:run] += seen
+            split = (paths.dictionary[int(codes[-1])].as_py(), int(blocks[-1]))
+            seen = int(ranks[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranks, pa.int64())], [*batch.schema.names, "_rank"])
+
+
 def read_csv_cells(spark: SparkSession, paths, extensions=(".csv",)) -> DataFrame:
     """CSV files of any shape, one row per non-blank line, header included.
 
-    Big files are split over tasks.  A line is identified by the offset of its
-    split and its rank in the split, which is the order of the file however
-    the splits were handed out; the ranks are made dense with one small table
-    of line counts per split.
+    Big files are split over tasks, and a line never leaves the task that reads
+    it: the lines of each split are counted first, the sums of the counts say
+    where a split starts, and its lines are numbered as they are read.  The
+    table of splits is broadcast if it has at most ``SPLITS_MOST`` rows, else joined.
     """
     lines = (
         spark.read.option("pathGlobFilter", _glob(extensions)).option("recursiveFileLookup", "true").text(paths)
-        .select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), F.col("_metadata.file_block_start").alias("_block"),
-                F.monotonically_increasing_id().alias("_at"), F.col("value"))
+        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.col("value"))
         .filter(~is_blank(F.col("value")))
     )
-    in_split = Window.partitionBy("path", "_block").orderBy("_at")
-    ranked = lines.withColumn("_rank", F.row_number().over(in_split))
-    # The group of a split is at most maxPartitionBytes of text.
-    sizes = ranked.groupBy("path", "_block").agg(F.count("*").alias("_lines"))
-    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("path", "_block", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_offset"))
-    return ranked.join(offsets, ["path", "_block"]).select(
-        "path", F.lit(CSV_SHEET).alias("sheet"), F.lit(0).alias("sheet_idx"),
-        (F.col("_offset") + F.col("_rank") - 1).alias("row_idx"),
+    sizes = materialise(lines.groupBy("path", "_block").agg(F.count("*").alias("_lines")))
+    offsets = running_totals(sizes, ["path"], "_block", "_lines")
+    few = sizes.limit(SPLITS_MOST + 1).count() <= SPLITS_MOST
+    numbered = lines.mapInArrow(_number_in_split, "path string, _block bigint, value string, _rank bigint")
+    return numbered.join(F.broadcast(offsets) if few else offsets, ["path", "_block"]).select(
+        _plain_path("path").alias("path"), F.lit(CSV_SHEET).alias("sheet"), F.lit(0).alias("sheet_idx"),
+        (F.col("_offset") + F.col("_rank")).alias("row_idx"),
         parse_csv_line(F.col("value")).alias("cells"), F.lit(None).cast("string").alias("error"),
     )
 
@@ -97,13 +127,17 @@ def default_registry() -> FormatRegistry:
 def list_files(spark: SparkSession, paths, registry: FormatRegistry | None = None) -> DataFrame:
     """``path, bytes, known``: every file below ``paths``, and whether a reader knows its extension.
 
-    Only names and sizes are read, never the contents.  Spark hands out no empty files, so they are not listed.
+    Only names and sizes are read, never the contents.  Spark's scans hand out
+    no empty files; their names come from the file index that the driver holds for any scan.
     """
     known = sorted((registry or default_registry()).supported_extensions)
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    files = scan.select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"))
+    # The index writes an empty host, the scan none.
+    names = spark.createDataFrame([(re.sub("^([^:/]+):///", r"\1:/", name),) for name in scan.inputFiles()], "path string")
+    files = files.unionByName(names.join(files, "path", "left_anti").withColumn("bytes", F.lit(0).cast("bigint")))
     extension = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return files.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("bytes"),
-                        (extension.isin(known) if known else F.lit(False)).alias("known"))
+    return files.select(_plain_path("path").alias("path"), "bytes", (extension.isin(known) if known else F.lit(False)).alias("known"))
 
 
 def read_files_by_extension(spark: SparkSession, paths, registry: FormatRegistry | None = None) -> DataFrame:

@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
+import sys
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from maskframe.functions.jsontext import is_json
 from maskframe.operators.desensitize import desensitize
 from maskframe.operators.guard import guard
 from maskframe.operators.tokens import DEFAULT_PREFIX, DEFAULT_SUFFIX, detokenize
 from maskframe.plans.rules import TEXT_RULES
 
-END_MARK = "[DONE]"
-DATA_FIELD = "data: "
-
 
 def mask_stream(messages: DataFrame, text_column: str, rules=TEXT_RULES) -> DataFrame:
     """Mask each message as it arrives: stateless, so no watermark is needed."""
@@ -33,33 +31,14 @@ def guard_stream(messages: DataFrame, text_column: str, **options) -> DataFrame:
     return guard(messages, text_column, **options)
 
 
-def event_payload(event: Column) -> Column:
-    """JSON texts of the data lines of an event; end marks and broken lines give NULL."""
-    lines = F.split(event, "\n", -1)
-    return F.transform(lines, lambda line: F.when(
-        line.startswith(DATA_FIELD) & (line != DATA_FIELD + END_MARK) & is_json(F.substring(line, 7, F.length(line))),
-        F.substring(line, 7, F.length(line))))
-
-
 def detokenize_events(events: DataFrame, keys: list[str], event_column: str, vault: DataFrame, key: bytes,
                       prefix: str = DEFAULT_PREFIX, suffix: str = DEFAULT_SUFFIX, salts: int = 1) -> DataFrame:
     """Restore the tokens in the JSON data lines of events (a batch, or one micro-batch).
 
     Lines that are no JSON, other fields and the end mark stay as they are.
+    Every event keeps its own lines, also where several share a key.
     """
-    split = events.select(*events.columns, F.posexplode(F.arrays_zip(
-        F.split(event_column, "\n", -1).alias("line"), event_payload(F.col(event_column)).alias("json"))).alias("_line", "_part"))
-    lines = split.select(*keys, "_line", F.col("_part.line").alias("_text"), F.col("_part.json").alias("_json"))
-    restored = detokenize(lines, [*keys, "_line"], ["_json"], vault, key, prefix, suffix,
-                          json_columns=("_json",), salts=salts)
-    new_line = F.when(F.col("restored") > 0, F.concat(F.lit(DATA_FIELD), F.col("_json"))).otherwise(F.col("_text"))
-    rebuilt = restored.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_line", new_line.alias("text")))),
-                                 lambda l: l["text"]), "\n").alias("_event"),
-        F.sum("restored").alias("restored"),
-    )
-    return events.join(rebuilt, keys, "left").select(
-        *(F.col("_event").alias(c) if c == event_column else F.col(c) for c in events.columns), "restored")
+    return detokenize(events, keys, [event_column], vault, key, prefix, suffix, event_columns=(event_column,), salts=salts)
 
 
 def detokenize_stream(events: DataFrame, keys: list[str], event_column: str, read_vault: Callable[[], DataFrame],
@@ -80,11 +59,37 @@ def detokenize_stream(events: DataFrame, keys: list[str], event_column: str, rea
 
 EVENT_SCHEMA = "stream_id string, event_no bigint, event string, complete boolean"
 _STATE_SCHEMA = (
-    "next_seq bigint, event_no bigint, tail string, waiting_seq array<bigint>, waiting_chunk array<string>, missing array<bigint>")
+    "next_seq bigint, event_no bigint, tail string, waiting_seq array<bigint>, waiting_chunk array<string>, waiting_end array<boolean>, "
+    "gap_first array<bigint>, gap_last array<bigint>, forgotten bigint")
+
+
+class _Gaps:
+    """Numbers that were passed over, as sorted ranges that don't touch."""
+
+    def __init__(self, first, last):
+        self.ranges = list(zip(map(int, first), map(int, last)))
+
+    def add(self, first: int, last: int) -> None:
+        self.ranges.append((first, last))
+
+    def take(self, number: int) -> bool:
+        """Whether the number is missing; it no longer is."""
+        at = bisect_right(self.ranges, (number, sys.maxsize)) - 1
+        if at < 0 or number > self.ranges[at][1]:
+            return False
+        first, last = self.ranges[at]
+        self.ranges[at:at + 1] = [r for r in ((first, number - 1), (number + 1, last)) if r[0] <= r[1]]
+        return True
+
+    def forget(self, most: int) -> int:
+        """Drop the oldest ranges beyond ``most``; the last number of those, or -1."""
+        dropped, self.ranges = self.ranges[:-most] if most else self.ranges, self.ranges[-most:] if most else []
+        return dropped[-1][1] if dropped else -1
 
 
 def reassemble_events(chunks: DataFrame, stream_id: str = "stream_id", seq: str = "seq", chunk: str = "chunk",
-                      timeout_ms: int | None = 60_000, max_waiting: int = 10_000) -> DataFrame:
+                      timeout_ms: int | None = 60_000, max_waiting: int = 10_000, end: str | None = None,
+                      max_gaps: int = 10_000) -> DataFrame:
     """Raw chunks to complete events on the blank-line delimiter, per stream.
 
     ``seq`` counts the chunks of a stream from 0.  Chunks are passed on in that
@@ -96,16 +101,23 @@ def reassemble_events(chunks: DataFrame, stream_id: str = "stream_id", seq: str
     chunk of the gap that still arrives comes out by itself, with ``complete``
     false.  Nothing is dropped but chunks that came before.
 
+    ``end`` names a boolean column that marks the last chunk of a stream: the
+    tail behind its last blank line then comes out at once, ``complete`` false.
+
+    Gaps are kept as ranges, one entry however wide.  Beyond ``max_gaps`` ranges
+    the oldest are forgotten; a chunk from there that still arrives is passed
+    on like one of a known gap, even if it came before.
+
     ``timeout_ms=None`` sets no timer; a replay that is to end by itself
     (``availableNow``) needs that, since a timer keeps a query alive.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
-            next_seq, event_no, tail, seqs, texts, gaps = state.get
-            waiting, missing = dict(zip(list(seqs), list(texts))), set(gaps)
+            next_seq, event_no, tail, seqs, texts, ends, first, last, forgotten = state.get
+            waiting, gaps = dict(zip(list(seqs), zip(list(texts), list(ends)))), _Gaps(first, last)
         else:
-            next_seq, event_no, tail, waiting, missing = 0, 0, "", {}, set()
+            next_seq, event_no, tail, waiting, gaps, forgotten = 0, 0, "", {}, _Gaps((), ()), -1
 
         def frame(events: list[str], complete: bool) -> pd.DataFrame:
             nonlocal event_no
@@ -114,15 +126,19 @@ def reassemble_events(chunks: DataFrame, stream_id: str = "stream_id", seq: str
                 "stream_id": [key[0]] * len(events), "event_no": range(first, event_no),
                 "event": events, "complete": [complete] * len(events)})
 
+        def rest_of(text: str) -> list[str]:
+            return [event for event in text.split("\n\n") if event.strip()]
+
         def flush() -> list[str]:
             nonlocal next_seq, tail
-            rest = tail + "".join(waiting[s] for s in sorted(waiting))
-            if waiting:
-                missing.update(set(range(next_seq, max(waiting))) - set(waiting))
-                next_seq = max(waiting) + 1
+            rest = tail + "".join(waiting[s][0] for s in sorted(waiting))
+            for s in sorted(waiting):
+                if s > next_seq:
+                    gaps.add(next_seq, s - 1)
+                next_seq = s + 1
             waiting.clear()
             tail = ""
-            return [event for event in rest.split("\n\n") if event.strip()]
+            return rest_of(rest)
 
         if timeout_ms is not None and state.hasTimedOut:
             left = flush()
@@ -131,23 +147,30 @@ def reassemble_events(chunks: DataFrame, stream_id: str = "stream_id", seq: str
         else:
             late: list[str] = []
             for batch in batches:
-                for number, text in zip(batch[seq], batch[chunk]):
+                last_marks = batch[end].fillna(False) if end else [False] * len(batch)
+                for number, text, is_last in zip(batch[seq], batch[chunk], last_marks):
                     if number >= next_seq:
-                        waiting[int(number)] = text
-                    elif int(number) in missing:
-                        missing.discard(int(number))
-                        late.append(text)
+                        waiting[int(number)] = (text or "", bool(is_last))
+                    elif gaps.take(int(number)) or number <= forgotten:
+                        late.append(text or "")
                 while next_seq in waiting:
-                    *events, tail = (tail + waiting.pop(next_seq)).split("\n\n")
+                    text, is_last = waiting.pop(next_seq)
+                    *events, tail = (tail + text).split("\n\n")
                     next_seq += 1
                     if events:
                         yield frame(events, True)
+                    if is_last:
+                        left, tail = rest_of(tail), ""
+                        if left:
+                            yield frame(left, False)
             if len(waiting) > max_waiting:
                 late += flush()
             if late:
                 yield frame(late, False)
+        forgotten = max(forgotten, gaps.forget(max_gaps))
         order = sorted(waiting)
-        state.update((next_seq, event_no, tail, order, [waiting[s] for s in order], sorted(missing)))
+        state.update((next_seq, event_no, tail, order, [waiting[s][0] for s in order], [waiting[s][1] for s in order],
+                      [r[0] for r in gaps.ranges], [r[1] for r in gaps.ranges], forgotten))
         if timeout_ms is not None and (waiting or tail):
             state.setTimeoutDuration(timeout_ms)
 
