@@ -14,7 +14,11 @@ the text itself, which reads as a blank.
 
 A best path never spans a place that no piece spans.  Texts are cut there (see
 `mark_runs`), and all distinct pre-tokens of a slice walk through
-the automaton together, byte by byte, in numpy.
+the automaton together, byte by byte, in numpy.  The few longest ones, where a
+step of numpy would serve less than ``TOGETHER`` of them, walk one by one.
+
+The automaton is built once on the driver and broadcast; its size is that of
+the vocabulary.
 
 Null and empty texts have no pieces.  Rows are kept one for one, repeated rows
 and null ids included; other columns are left out.
@@ -22,7 +26,7 @@ and null ids included; other columns are left out.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,7 @@ from maskframe.llm.words import hash_runs
 
 _MARK = BLANK.encode()
 _FAR = -1e18
+TOGETHER = 64
 
 
 class Vocabulary:
@@ -63,6 +68,11 @@ class Vocabulary:
         self.unknown = float(self.scores[usable].min()) - 10.0
         self.step, self.link, self.piece, self.length = automaton([(self.text[i], i) for i in usable])
 
+    @cached_property
+    def plain(self) -> tuple[list, list, list]:
+        """Links, lengths and scores of the states, for runs that walk alone."""
+        return self.link.tolist(), self.length.tolist(), self.scores[self.piece].tolist()
+
 
 def automaton(pieces: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``step[state, byte]``; and of each state with an output: the state of its
@@ -79,7 +89,7 @@ def automaton(pieces: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray,
             state = found
         ends[state] = (piece, len(text))
     count = len(children)
-    step = np.zeros((count, 256), np.int32)
+    step = np.zeros((count, 256), np.uint16 if count <= 1 << 16 else np.int32)
     output, link = np.zeros(count, np.int32), np.zeros(count, np.int32)
     for byte, state in children[0].items():
         step[0, byte] = state
@@ -107,7 +117,59 @@ def vocabulary(model: str) -> Vocabulary:
 
 
 def best_paths(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of the best path through each run of bytes, and their number.
+    """Piece ids of the best path through each run of bytes, and their number."""
+    sizes = ends - starts
+    # The size that fewer than TOGETHER runs exceed.
+    longest = np.sort(sizes)[-TOGETHER] if len(sizes) >= TOGETHER else 0
+    alone = np.flatnonzero(sizes > max(longest, TOGETHER))
+    if not len(alone):
+        return _together(v, data, starts, ends)
+    rest = np.flatnonzero(sizes <= max(longest, TOGETHER))
+    ids, counts = _together(v, data, starts[rest], ends[rest])
+    each = np.zeros(len(sizes), np.int64)
+    each[rest] = counts
+    own = {int(i): _one(v, data[starts[i]:ends[i]]) for i in alone}
+    each[alone] = [len(own[int(i)]) for i in alone]
+    out = np.zeros(int(each.sum()), np.int32)
+    ends_at = np.cumsum(each)
+    out[np.repeat((ends_at - each)[rest] - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))] = ids
+    for i, found in own.items():
+        out[ends_at[i] - len(found):ends_at[i]] = found
+    return out, each
+
+
+def _one(v: Vocabulary, run: np.ndarray) -> np.ndarray:
+    """The same for one long run, byte by byte."""
+    step, link, length, score, unknown = v.step, *v.plain, v.unknown
+    size, raw = len(run), run.tobytes()
+    best, via, back = [_FAR] * size, [0] * size, [0] * size
+    state, since = 0, 0
+    for i, byte in enumerate(raw):
+        state = int(step[state, byte])
+        since = since + 1 if byte & 0xC0 == 0x80 else 1
+        most, at = _FAR, state
+        while True:
+            if own := length[at]:
+                came = best[i - own] if own <= i else 0.0
+                if came > _FAR and came + score[at] > most:
+                    most, via[i], back[i] = came + score[at], at, own
+            at = link[at]
+            if not at:
+                break
+        if most <= _FAR and (i + 1 == size or raw[i + 1] & 0xC0 != 0x80):
+            came = best[i - since] if since <= i else 0.0
+            if came > _FAR and came + unknown > most:
+                most, via[i], back[i] = came + unknown, -1, since
+        best[i] = most
+    ids, at = [], size - 1
+    while at >= 0:
+        ids.append([int(v.piece[via[at]])] if via[at] >= 0 else v.byte_ids[run[at - back[at] + 1:at + 1]].tolist())
+        at -= back[at]
+    return np.array([i for part in reversed(ids) for i in part], np.int32)
+
+
+def _together(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many runs at once.
 
     The runs advance together; runs of the same length are together in memory,
     the longest first, so that those still reading are always the first ones.
@@ -242,11 +304,12 @@ def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
     """``doc_id, piece_ids, n_pieces, round_trip`` of every row: its best path,
     and whether that decodes to the text again (true for all texts).
 
-    ``model`` is the path of a sentencepiece model that every worker can open.
+    ``model`` is the path of a sentencepiece model that the driver can open.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(model))
 
     def make():
-        v = vocabulary(model)
+        v = shared.value
 
         def work(part: pa.RecordBatch) -> dict:
             ids, counts = encode_texts(v, part.column("text"))
@@ -268,8 +331,10 @@ def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
 def decode(rows: DataFrame, model: str, id_column: str = "doc_id", ids_column: str = "piece_ids") -> DataFrame:
     """``doc_id, text`` from lists of piece ids; a null list gives a null text."""
 
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary(model))
+
     def run(batches):
-        v = vocabulary(model)
+        v = shared.value
         for batch in batches:
             lists = batch.column("piece_ids")
             counts = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
