@@ -69,7 +69,7 @@ def mask_files(spark: SparkSession, paths, registry: FormatRegistry | None = Non
     return MaskedFiles(
         rows=only_changed(masked), files=file_totals(masked),
         report=pii_report(masked, "mask_stats", ["path"]).drop("records"), errors=errors,
-        listed=list_files(spark, paths, registry), tokens=tokens,
+        listed=list_files(spark, paths, registry, empty=True), tokens=tokens,
     )
 
 

@@ -124,18 +124,20 @@ def default_registry() -> FormatRegistry:
     return FormatRegistry([FileFormat("csv", (".csv",), read_csv_cells)])
 
 
-def list_files(spark: SparkSession, paths, registry: FormatRegistry | None = None) -> DataFrame:
+def list_files(spark: SparkSession, paths, registry: FormatRegistry | None = None, empty: bool = False) -> DataFrame:
     """``path, bytes, known``: every file below ``paths``, and whether a reader knows its extension.
 
     Only names and sizes are read, never the contents.  Spark's scans hand out
-    no empty files; their names come from the file index that the driver holds for any scan.
+    no empty files; with ``empty`` their names come from the file index that the
+    driver holds for any scan.
     """
     known = sorted((registry or default_registry()).supported_extensions)
     scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     files = scan.select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"))
-    # The index writes an empty host, the scan none.
-    names = spark.createDataFrame([(re.sub("^([^:/]+):///", r"\1:/", name),) for name in scan.inputFiles()], "path string")
-    files = files.unionByName(names.join(files, "path", "left_anti").withColumn("bytes", F.lit(0).cast("bigint")))
+    if empty:
+        # The index writes an empty host, the scan none.
+        names = spark.createDataFrame([(re.sub("^([^:/]+):///", r"\1:/", name),) for name in scan.inputFiles()], "path string")
+        files = files.unionByName(names.join(files, "path", "left_anti").withColumn("bytes", F.lit(0).cast("bigint")))
     extension = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     return files.select(_plain_path("path").alias("path"), "bytes", (extension.isin(known) if known else F.lit(False)).alias("known"))
 
