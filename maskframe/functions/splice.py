@@ -57,11 +57,15 @@ def running_sums(values: Column) -> Column:
             F.slice(items, i * _SUM_BLOCK + 1, F.lit(_SUM_BLOCK)), F.array(before),
             lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
 
+    def plain(items: Column) -> Column:
+        return F.aggregate(items, F.array().cast("array<int>"), lambda sums, x: F.concat(
+            sums, F.array(F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0)) + x)))
+
     def blocks(items: Column) -> Column:
         numbers = F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / _SUM_BLOCK), F.lit(0)).cast("int"))
         return F.flatten(F.transform(numbers, lambda i: F.slice(block(items, i), F.lit(2), F.lit(_SUM_BLOCK))))
 
-    return let(values, blocks)
+    return let(values, lambda items: F.when(F.size(items) <= _SUM_BLOCK, plain(items)).otherwise(blocks(items)))
 
 
 _SUM_BLOCK = 256
