@@ -86,6 +86,12 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def near_duplicates_by_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among the documents, found by bands of their fingerprints and verified (the other half of op9)."""
+    return fingerprints.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every document, and whether they decode to it."""
