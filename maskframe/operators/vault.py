@@ -64,9 +64,10 @@ class Vault:
         spent = materialise(df.select(F.explode(F.array_distinct(found)).alias("token_id")).distinct())
         parts = [r.part for r in spent.select(token_part(F.col("token_id")).alias("part")).distinct().collect()]  # at most 101
         held = self.read(spark).filter(F.col(TOKEN_PART).isin(parts)).select(*PARTS, "token_id")
-        gone = materialise(held.join(spent, "token_id"))
+        # Both sides grow with the table: neither is to pass the driver, whatever the planner takes its size for.
+        gone = materialise(held.join(spent.hint("merge"), "token_id"))
         tokens = gone.select("token_id").distinct()
-        self._keep(spark, self._parts_of(gone), lambda rows: rows.join(tokens, "token_id", "left_anti"))
+        self._keep(spark, self._parts_of(gone), lambda rows: rows.join(tokens.hint("merge"), "token_id", "left_anti"))
         return gone.count()
 
     def expire(self, spark: SparkSession, session: str | None = None, older_than: Column | None = None,
