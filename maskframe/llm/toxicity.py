@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from maskframe.llm.batches import map_texts, named, text_buffer
 from maskframe.llm.joins import checked_join
 from maskframe.llm.words import MARKS, Words, mix, words_of
-from maskframe.session import materialise
+from maskframe.session import discard, scratch_folder
 
 BUCKET_BITS = 22
 CONTEXT_BITS = 20
@@ -263,8 +263,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_colu
     marks = marks.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()
                          & ~held_out_column(F.col("doc_id"), folds, fold))
     own = named(docs, doc_id=id_column, text=text_column)
-    pairs = materialise(counted_pairs(checked_join(own, marks, "doc_id").select("text", "label")))
-    blank = Model(*gathered(pairs), support, strength, window)
+    spark = docs.sparkSession
+    folder = scratch_folder(spark, "pairs")
+    pairs = counted_pairs(checked_join(own, marks, "doc_id").select("text", "label"))
+    pairs.write.option("compression", "zstd").parquet(folder)  # a checkpoint is not compressed
+    blank = Model(*gathered(spark.read.schema(pairs.schema).parquet(folder)), support, strength, window)
+    discard(spark, folder)
     totals = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}  # two rows
     if len(totals) < 2 or not blank.words[1][:, :2].any(axis=0).all():
         return blank

@@ -3,12 +3,15 @@
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from maskframe.llm import fingerprints, passages, toxicity
+from maskframe.session import shared_folder
 from tests.llm.cases import ODD, clashing, none
 from tests.llm.test_pairs import brute_components, family
 
@@ -134,3 +137,24 @@ def test_passages_are_cut_from_the_row_that_has_them(spark):
     kept = Counter((r.doc_id, r.text) for r in passages.without_repeats(docs).collect())
     assert sum(n for (_, text), n in kept.items() if text and REPEATED in text) == 1
     assert kept[(1, SHARED[0][1])] == 1 and kept[(1, None)] == 1 and kept[(3, SHARED[4][1])] == 2 and sum(kept.values()) == 6
+
+
+def test_counted_pairs_take_little_disk(spark, monkeypatch):
+    """Between the counts of pairs and those of buckets the rows lie in few bytes, and only as long as they are read."""
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    seen = []
+
+    def held():
+        return sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+
+    def gathered(pairs, real=toxicity.gathered):
+        seen.append((pairs.count(), held()))
+        return real(pairs)
+
+    monkeypatch.setattr(toxicity, "gathered", gathered)
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.expr(
+        "array_join(transform(sequence(1, 300), x -> concat('w', (id * 7919 + x * x * 31) % 9973)), ' ')").alias("text"))
+    before = held()
+    toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")), folds=1, fold=7)
+    (count, during), = seen
+    assert count > 20_000 and during - before < 20 * count and held() <= before
