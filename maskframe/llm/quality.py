@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskframe.llm.batches import map_texts, named, ragged, slices, text_buffer
+from maskframe.llm.batches import map_batches, map_texts, named, ragged, slices, text_buffer
 from maskframe.llm.words import distinct, words_of
 
 SAMPLE = 1500
@@ -220,4 +220,4 @@ def accepted(docs: DataFrame, model: Model, text_column: str = "text", neighbour
                 found = [known.score(c, neighbours) for c in _counts(part.column(text_column))]
                 yield part.filter(pa.array(np.concatenate(found) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
