@@ -38,6 +38,8 @@ from maskframe.llm.words import hash_runs
 
 _MARK = BLANK.encode()
 _FAR = -1e18
+#: A search keeps some forty times its slice.
+SLICE_MOST = LARGE_SLICE_BYTES // 2
 TOGETHER = 64
 
 
@@ -325,7 +327,7 @@ def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
 
     rows = named(docs, doc_id=id_column, text=text_column)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_texts(rows, "text", make, f"doc_id {kind}, piece_ids array<int>, n_pieces bigint, round_trip boolean", LARGE_SLICE_BYTES)
+    return map_texts(rows, "text", make, f"doc_id {kind}, piece_ids array<int>, n_pieces bigint, round_trip boolean", SLICE_MOST)
 
 
 def decode(rows: DataFrame, model: str, id_column: str = "doc_id", ids_column: str = "piece_ids") -> DataFrame:

@@ -171,13 +171,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_column: str, id_column: str =
     rows = named(docs, doc_id=id_column, text=text_column).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
     taken = map_texts(rows.select("text", "label"), "text", lambda: work, "label int, terms array<int>, counts array<float>")
     # A labelled id that repeats in the documents would lift the bound.
-    taken = taken.limit(2 * sample).collect()
-    if not taken:
+    taken = taken.limit(2 * sample).toArrow()
+    if not taken.num_rows:
         return _empty(prior)
-    counts = np.zeros((len(taken), TERMS), np.float32)
-    for i, row in enumerate(taken):
-        counts[i, row["terms"]] = row["counts"]
-    return learn(counts, np.array([row["label"] for row in taken], np.float32), prior)
+    counts = np.zeros((taken.num_rows, TERMS), np.float32)
+    terms, found = (taken.column(c).combine_chunks() for c in ("terms", "counts"))
+    row = np.repeat(np.arange(taken.num_rows), terms.value_lengths().to_numpy())
+    counts[row, terms.flatten().to_numpy()] = found.flatten().to_numpy()
+    return learn(counts, taken.column("label").to_numpy().astype(np.float32), prior)
 
 
 def _counts(texts: pa.Array):
