@@ -120,7 +120,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     cells = materialise(cells.join(leaders, "cell"))
     near = cells.filter(F.col("a") != F.col("id")).filter(100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
     first = near.groupBy("id", "a").count().groupBy(F.col("id").alias("b")).agg(F.max(F.struct("count", "a"))["a"].alias("a"))
-    links = verified.linked(verified.measured(first.select("a", "b"))).union(verified.shared_ids(members))
+    links = verified.linked(verified.measured(first.select("a", "b"), members)).union(verified.shared_ids(members))
     label = components(links)
     links = links.union(verified.in_blocks(cells.select("cell", "id", "n"), label))
     label = components(links)
