@@ -11,6 +11,7 @@ from maskframe.operators.desensitize import mask_text
 from maskframe.operators.guard import type_policy
 from maskframe.operators.tables import mask_table
 from maskframe.plans.rules import RULES_BY_ID
+from maskframe.session import materialise
 from maskframe.sources import readers
 
 PLANTED = ["138-1234-5678", "hunter2222", "4532 0151 1283 0366", "110101 19900101 123X", "a.b@corp.org", "13912345678"]
@@ -72,3 +73,28 @@ def test_one_reader_for_each_extension(spark, tmp_path):
     assert len(rows) == 2 and {r.path.rsplit("/", 2)[1:][0] for r in rows} == {"in dir"}
     files = {r.path.rsplit("/", 1)[1]: (r.bytes, r.known) for r in readers.list_files(spark, str(folder), registry).collect()}
     assert files == {"x.dat": (1, False), "a b.csv": (8, True)}
+
+
+def test_a_vault_with_ciphertexts_that_do_not_open(spark):
+    """A token that stands in the vault several times comes back if any of its ciphertexts opens."""
+    key = derive_key("password", "salt")
+    df = spark.createDataFrame([(i, f"mail a{i}@b.org and b{i}@c.org") for i in range(20)], "id bigint, text string")
+    tokenized = materialise(T.tokenize(df, ["id"], ["text"]))
+    vault = T.vault_rows(tokenized, key)
+    closed = T.vault_rows(tokenized, derive_key("other", "salt"))
+    for store in (True, False):
+        back = T.detokenize(tokenized.select("id", "text"), ["id"], ["text"], closed.union(closed).union(vault).union(vault), key, store=store)
+        assert {(r.id, r.text, r.restored) for r in back.collect()} == {(r.id, r.text, 2) for r in df.collect()}
+
+
+def test_values_that_wait_between_two_joins_are_encrypted(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(T, "stored", lambda rows, name: kept.append(materialise(rows)) or kept[-1])
+    key = derive_key("password", "salt")
+    df = spark.createDataFrame([(1, "mail a1@b.org")], "id bigint, text string")
+    tokenized = T.tokenize(df, ["id"], ["text"])
+    back = T.detokenize(tokenized.select("id", "text"), ["id"], ["text"], T.vault_rows(tokenized, key), key).first()
+    assert back.text == "mail a1@b.org" and len(kept) == 1
+    row = kept[0].first()
+    assert len(row["_set"]) == 16 and [c["_at"] for c in row["_ciphers"]] == [0]
+    assert b"a1@b.org" not in bytes(row["_ciphers"][0]["ciphertext"])
