@@ -6,7 +6,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from maskframe.functions.splice import find_all
+from maskframe.functions.splice import cut_marked, find_all, marked
 from maskframe.operators import desensitize as D
 from maskframe.plans.rules import ALWAYS, RULES_BY_ID, TEXT_RULES, require_keywords, select_rules
 
@@ -104,3 +104,19 @@ def test_quick_check(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(D.might_contain_sensitive(F.col("t"))).collect()]
     assert got == [True, True, True, True, False, False, False]
+
+
+def test_matches_of_a_pattern_from_a_column(spark):
+    """Pieces and matches from the marked text; texts that hold the marks, and nulls, take the pattern itself."""
+    texts = ["a1b22c", "none", "\x01a1\x02b22", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    pattern = "[0-9]+"
+    found = rows.select("t", cut_marked(F.col("t"), marked(F.col("t"), pattern), F.lit(pattern)).alias("c"), marked(F.col("t"), pattern).alias("m"))
+    got = {r.t: (r.c.pieces, r.c.matches) if r.c else None for r in found.collect()}
+    assert got["a1b22c"] == (["a", "b", "c"], ["1", "22"]) and got["none"] == (["none"], []) and got[""] == ([""], [])
+    assert got["\x01a1\x02b22"] == (["\x01a", "\x02b", ""], ["1", "22"])
+    assert {r.t: r.m == r.t for r in found.filter("t IS NOT NULL").collect()} == {"a1b22c": False, "none": True, "\x01a1\x02b22": False, "": True}
+    masked = {r.t: r.d for r in rows.union(spark.createDataFrame([("\x01mail a@b.org\x02",)], "t string")).select(
+        "t", D.desensitize(F.col("t"))["result"].alias("d")).collect()}
+    assert masked[None] is None and masked["none"] == "none"
+    assert masked["\x01mail a@b.org\x02"].startswith("\x01mail ") and "a@b.org" not in masked["\x01mail a@b.org\x02"]
